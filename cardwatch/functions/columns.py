@@ -78,3 +78,10 @@ def skewness_corrected(c: str | Column) -> Column:
 def seconds(ts: str | Column) -> Column:
     """Whole seconds since the epoch, rounded down."""
     return F.floor(F.unix_micros(_col(ts)) / F.lit(1_000_000)).cast("long")
+
+
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation over rows where both are known; NULL if one is constant."""
+    x, y = _col(a).cast("double"), _col(b).cast("double")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
