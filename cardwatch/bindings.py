@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwatch.schemas import TS
+from cardwatch.streaming.replay import stream_transactions
 
 # Newest-first order of the bound predictions: total, without a surrogate id.
 VERSION_ORDER = ("created_at", "id1", "id2", "id3")
@@ -20,11 +21,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    """Card log bound to ``events``; ``k`` is the number inside ``props``."""
+    """Card log bound to ``events``."""
+    return as_transactions(table(spark, folder, "events"))
+
+
+def stream_of_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    """The same log as a stream over the event files."""
+    schema = table(spark, folder, "events").schema
+    return as_transactions(stream_transactions(spark, f"{folder}/events*.parquet", schema))
+
+
+def as_transactions(events: DataFrame) -> DataFrame:
+    """Events as card rows; ``k`` is the number inside ``props``."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     return (
-        table(spark, folder, "events")
-        .withColumn("k", k)
+        events.withColumn("k", k)
         .select(
             F.col("event_id").cast("string").alias("trans_num"),
             F.col("user_id").alias("cc_num"),

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from cardwatch.schemas import API_FIELDS, LABEL, TRANSACTIONS_RAW
 
 JDBC_BATCH = 10_000
+CSV_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def read_transactions_csv(
@@ -47,7 +48,7 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.Stru
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("timestampFormat", CSV_TIME).csv(path)
 
 
 def write_details(df: DataFrame, path: str, fmt: str = "json") -> None:
@@ -57,7 +58,7 @@ def write_details(df: DataFrame, path: str, fmt: str = "json") -> None:
     if fmt == "csv":
         write_csv(df, path)
     else:
-        df.write.mode("overwrite").json(path)
+        df.write.mode("overwrite").option("timestampFormat", CSV_TIME).json(path)
 
 
 def fraud_only(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cardwatch.functions.columns import count_where, or_zero
 from cardwatch.operators.store import insert_new
+from cardwatch.operators.versions import keep_first
 from cardwatch.schemas import LABEL, PREDICTIONS, TRANSACTIONS_RAW, TS
 
 PROGRESS_SCHEMA = "batch long, rows_sent long, rows_written long, failed boolean, latency_sec double"
@@ -123,6 +124,22 @@ def stream_kpis(stream: DataFrame, window: str = "1 hour", watermark: str = "2 h
     )
 
 
+def live_kpis(stream: DataFrame, sink: str, checkpoint: str, **options) -> DataFrame:
+    """Run the windowed figures over what is there and return the newest figure of each window.
+
+    Windows that may still change are written again by later micro-batches;
+    the batch number decides which version counts.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(sink)
+
+    writer = stream_kpis(stream, **options).writeStream.outputMode("update").foreachBatch(handle)
+    run_available(writer.option("checkpointLocation", checkpoint))
+    versions = stream.sparkSession.read.parquet(sink)
+    return keep_first(versions, ["window_start", "window_end"], [F.desc("batch")]).drop("batch")
+
+
 def card_velocity(stream: DataFrame, window: str = "2 hours", slide: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
     """Transactions per card in sliding event-time windows."""
     timed = stream.withWatermark(TS, watermark)
