@@ -393,7 +393,7 @@ def random_search(
         "model": kind,
         "best_model": fitted.bestModel,
         "best_params": draws[best],
-        "best_cv_pr_auc": fitted.avgMetrics[best],
+        "best_cv_pr_auc": float(fitted.avgMetrics[best]),
         "tuning_time_sec": time.perf_counter() - started,
         "n_iter": n_iter,
     }

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import evaluation, features, ingestion, monitoring, profiling, windows  # noqa: F401
+from catalog import evaluation, features, ingestion, modelling, monitoring, profiling, selection, streaming, windows  # noqa: F401

@@ -338,12 +338,12 @@ RARE = f"""(SELECT cc_num, h FROM (SELECT c.cc_num, s.h, row_number() OVER (PART
  FROM (SELECT DISTINCT cc_num FROM {TX} d) c, range(24) s(h)) x WHERE r <= 6)"""
 add(
     "e_37",
-    lambda t: E.anomaly_flags(t.placed, t.placed.where("trans_num % 3 != 0")).select(
+    lambda t: E.anomaly_flags(t.placed, t.placed.where(F.col(TS) < "2024-01-10")).select(
         "trans_num", "high_amount", "merchant_mismatch", "far_from_home"
     ),
     f"""SELECT trans_num, coalesce(amt > q, false) AS high_amount, k.category IS NULL AS merchant_mismatch, {KM} > 500 AS far_from_home FROM {PLACED} p
- LEFT JOIN (SELECT category, quantile_cont(amt, 0.99) AS q FROM {PLACED} z WHERE CAST(trans_num AS BIGINT) % 3 <> 0 GROUP BY 1) l ON l.category = p.category
- LEFT JOIN (SELECT DISTINCT category, merchant FROM {PLACED} z WHERE CAST(trans_num AS BIGINT) % 3 <> 0) k
+ LEFT JOIN (SELECT category, quantile_cont(amt, 0.99) AS q FROM {PLACED} z WHERE {TS} < TIMESTAMP '2024-01-10' GROUP BY 1) l ON l.category = p.category
+ LEFT JOIN (SELECT DISTINCT category, merchant FROM {PLACED} z WHERE {TS} < TIMESTAMP '2024-01-10') k
  ON k.category = p.category AND k.merchant = p.merchant""",
 )
 add(
