@@ -96,8 +96,14 @@ def score_steps(df: DataFrame, label: str = LABEL, score: str = "risk_score", ro
     steps = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(y).cast("long").alias("hits"), F.sum(1 - y).cast("long").alias("misses")
     )
-    totals = steps.agg(F.sum("hits"), F.sum("misses")).first()
-    placed = prefix_sum(steps.withColumn("__down", -F.col("score")), ["__down"], ["hits", "misses"], (), rows_per_slice)
+    return placed_steps(steps, rows_per_slice)
+
+
+def placed_steps(steps: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Running class counts over (score, hits, misses) rows, best score first."""
+    distinct, *totals = steps.agg(F.count(F.lit(1)), F.sum("hits"), F.sum("misses")).first()
+    down = steps.withColumn("__down", -F.col("score"))
+    placed = prefix_sum(down, ["__down"], ["hits", "misses"], (), rows_per_slice, n=distinct)
     return placed.select(
         "score",
         "hits",
@@ -135,8 +141,12 @@ def _ranking_columns() -> dict[str, Column]:
 
 def ranking_metrics(df: DataFrame, names=("roc_auc", "pr_auc_trapezoid", "average_precision"), **options) -> DataFrame:
     """The area metrics, all from one pass over the score steps; NULL with one class."""
+    return _areas(score_steps(df, **options), names)
+
+
+def _areas(steps: DataFrame, names=("roc_auc", "pr_auc_trapezoid", "average_precision")) -> DataFrame:
     columns = _ranking_columns()
-    return score_steps(df, **options).agg(*[columns[n].alias(n) for n in names])
+    return steps.agg(*[columns[n].alias(n) for n in names])
 
 
 def roc_auc(df: DataFrame, **options) -> DataFrame:
@@ -186,13 +196,18 @@ def pr_curve(df: DataFrame, **options) -> DataFrame:
 
 
 def ranked_by_score(
-    df: DataFrame, label: str = LABEL, score: str = "risk_score", key: str = "trans_num", rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame,
+    label: str = LABEL,
+    score: str = "risk_score",
+    key: str = "trans_num",
+    rows_per_slice: int = ROWS_PER_SLICE,
+    n: int | None = None,
 ) -> DataFrame:
     """``pos`` by descending score, equal scores by key."""
     narrow = df.select(
         F.col(key), F.col(label).cast("int").alias("y"), (-F.col(score).cast("double")).alias("__down")
     )
-    return prefix_sum(narrow, ["__down", key], (), (), rows_per_slice)
+    return prefix_sum(narrow, ["__down", key], (), (), rows_per_slice, n=n)
 
 
 def rank_scores(df: DataFrame, score: str = "risk_score", by: list[str] = (), key: str = "trans_num", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
@@ -207,7 +222,7 @@ def precision_recall_at_k(df: DataFrame, fractions=TOP_FRACTIONS, **options) ->
     spark = df.sparkSession
     n, positives = df.agg(F.count(F.lit(1)), F.sum(F.col(LABEL).cast("int"))).first()
     sizes = {f: max(1, int(n * f)) for f in fractions}
-    ranked = ranked_by_score(df, **options)
+    ranked = ranked_by_score(df, n=n, **options)
     hits = ranked.agg(
         *[F.sum(F.when(F.col("pos") < k, F.col("y"))).alias(f"h{i}") for i, k in enumerate(sizes.values())]
     ).first()
@@ -224,7 +239,7 @@ def lift_table(df: DataFrame, bins: int = 10, **options) -> DataFrame:
     """Fraud rate per equal-count score bin against the overall rate, best bin first."""
     n, positives = df.agg(F.count(F.lit(1)), F.sum(F.col(LABEL).cast("int"))).first()
     base = (positives or 0) / n if n else None
-    ranked = ranked_by_score(df, **options)
+    ranked = ranked_by_score(df, n=n, **options)
     table = ranked.groupBy(equal_bin(F.col("pos"), F.lit(n).cast("long"), bins).alias("decile")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("fraud_rate"), F.sum("y").cast("long").alias("fraud_count")
     )
@@ -242,19 +257,41 @@ def evaluation_report(tx: DataFrame, pred: DataFrame, batch_id: str | None = Non
 
 
 def metrics_row(frame: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """All threshold and ranking metrics in one row."""
-    counts = confusion(frame).select(
+    """All threshold and ranking metrics in one row.
+
+    The frame is read once: rows are merged per (score, label, prediction) and
+    every metric works on those merged rows, held until they are done.
+    """
+    y, p = F.col(LABEL).cast("int"), F.col("prediction").cast("int")
+    levels = frame.groupBy(F.col("risk_score").cast("double").alias("score"), y.alias("y"), p.alias("p"))
+    levels = levels.agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        return _metrics_of_levels(levels, rows_per_slice)
+    finally:
+        levels.unpersist()
+
+
+def _metrics_of_levels(levels: DataFrame, rows_per_slice: int) -> DataFrame:
+    def size(y: int, p: int) -> Column:
+        return F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("p") == p), F.col("n"))), F.lit(0))
+
+    table = levels.agg(size(0, 0).alias("tn"), size(0, 1).alias("fp"), size(1, 0).alias("fn"), size(1, 1).alias("tp"))
+    counts = table.select(
         (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows_joined"),
         _rate(F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("fraud_rate"),
         *[c.alias(name) for name, c in {**_prf_columns(), **_accuracy_columns()}.items()],
     ).first()
-    areas = ranking_metrics(frame, rows_per_slice=rows_per_slice).first()
+    steps = levels.groupBy("score").agg(
+        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("hits"),
+        F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("misses"),
+    )
+    areas = _areas(placed_steps(steps, rows_per_slice)).first()
     values = {**counts.asDict(), **areas.asDict()}
     values["pr_auc"] = values["pr_auc_trapezoid"]
     schema = T.StructType(
         [T.StructField(k, T.LongType() if k == "rows_joined" else T.DoubleType()) for k in values]
     )
-    return frame.sparkSession.createDataFrame([tuple(values.values())], schema)
+    return levels.sparkSession.createDataFrame([tuple(values.values())], schema)
 
 
 def evaluate_model(model, test: DataFrame, threshold: float = 0.5, name: str = "model", fit_rows: int | None = None, fit_seconds: float | None = None) -> dict[str, DataFrame]:

@@ -64,7 +64,8 @@ FEATURES = (
 ).split()
 LOCATIONS = ["location_country", "location_city", "location_key"]
 
-CARD_ORDER = ["__us", "trans_num"]
+# The second comes first so that the time-range windows find their order ready.
+CARD_ORDER = ["__sec", "__us", "trans_num"]
 MERCHANT_ORDER = ["__us", "cc_num", "trans_num"]
 PLACES = {"city": "location_city", "country": "location_country", "key": "location_key"}
 
@@ -185,12 +186,21 @@ def _card_history(rows: DataFrame, plain: DataFrame, own: list[str], rows_per_sl
 def _whole_histories(rows: DataFrame, keys: list[str], longest: int, exact: bool) -> DataFrame:
     """Histories that fit one task: plain windows over a single shuffle by card.
 
-    The card-only windows come first; the finer windows then reuse that
-    partitioning and only sort again.
+    The rows are laid out by card once, which also serves every finer key.
+    The finer windows run first and the card-level ones last, so that all of
+    the latter share one sort.
     """
     w = before(keys, CARD_ORDER)
     here = Window.partitionBy(*keys).orderBy(*CARD_ORDER)
     tick = Window.partitionBy(*keys).orderBy("__sec")
+    rows = rows.repartition(*keys)
+    same = Window.partitionBy(*keys, "amt").orderBy("__sec").rangeBetween(-DAY, -1)
+    rows = rows.withColumn("__same", F.count(F.lit(1)).over(same))
+    pair = before([*keys, "merchant"], CARD_ORDER)
+    rows = rows.withColumns({**window_moment_results("amt", "__p", pair), "__p_sum": F.sum("amt").over(pair)})
+    rows = rows.withColumns(
+        {f"__{name}_n": F.count(F.lit(1)).over(before([*keys, column], CARD_ORDER)) for name, column in PLACES.items()}
+    )
     rows = rows.withColumn("__prev", F.lag(_row_state()).over(here))
     rows = rows.withColumn("__t1", _interval())
     rows = rows.withColumns(
@@ -200,24 +210,13 @@ def _whole_histories(rows: DataFrame, keys: list[str], longest: int, exact: bool
             "__nights": F.sum("__night").over(w),
             "__sins": F.sum("__sin").over(w),
             "__coss": F.sum("__cos").over(w),
+            **{f"__{p}_new": F.sum((F.col(f"__{p}_n") == 0).cast("long")).over(w) for p in ("city", "country")},
+            **{f"__v{name}": F.count(F.lit(1)).over(tick.rangeBetween(-s, -1)) for name, s in VELOCITY.items()},
         }
     )
-    if exact:
-        rows = median_of_whole_histories(rows, keys, CARD_ORDER, "amt", "__median", longest)
-    else:
-        rows = rows.withColumn("__median", F.percentile_approx("amt", 0.5).over(w))
-    rows = rows.withColumns(
-        {f"__v{name}": F.count(F.lit(1)).over(tick.rangeBetween(-s, -1)) for name, s in VELOCITY.items()}
-    )
-    same = Window.partitionBy(*keys, "amt").orderBy("__sec").rangeBetween(-DAY, -1)
-    rows = rows.withColumn("__same", F.count(F.lit(1)).over(same))
-    pair = before([*keys, "merchant"], CARD_ORDER)
-    rows = rows.withColumns({**window_moment_results("amt", "__p", pair), "__p_sum": F.sum("amt").over(pair)})
-    for name, column in PLACES.items():
-        rows = rows.withColumn(f"__{name}_n", F.count(F.lit(1)).over(before([*keys, column], CARD_ORDER)))
-    return rows.withColumns(
-        {f"__{name}_new": F.sum((F.col(f"__{name}_n") == 0).cast("long")).over(w) for name in ("city", "country")}
-    )
+    if not exact:
+        return rows.withColumn("__median", F.percentile_approx("amt", 0.5).over(w))
+    return median_of_whole_histories(rows, keys, CARD_ORDER, "amt", "__median", longest, clustered=True)
 
 
 def _cut_histories(rows: DataFrame, plain: DataFrame, keys: list[str], rows_per_slice: int) -> DataFrame:

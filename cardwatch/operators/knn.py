@@ -84,6 +84,7 @@ def knn_join(
             T.StructField("left_id", left.schema[left_id].dataType),
             T.StructField("neighbour_id", id_type),
             T.StructField("distance", T.DoubleType()),
+            T.StructField("rank", T.IntegerType()),
         ]
     )
     wanted = k + 1 if exclude_self else k
@@ -109,20 +110,26 @@ def knn_join(
                         continue
                     mine_codes = _matrix(part["c"], "int64") if point_codes is not None else None
                     index, distance = nearest(_matrix(part["v"]), points, wanted, mine_codes, point_codes, penalty)
-                    per_row = index.shape[1]
-                    owner = np.repeat(np.arange(part.num_rows), per_row)
+                    kept = np.ones(index.shape, dtype=bool)
+                    if exclude_self:
+                        own = part["left_id"].to_pylist()
+                        kept = np.array([[ids[i] != mine for i in row] for row, mine in zip(index, own)])
+                    ranks = np.cumsum(kept, axis=1)
+                    kept &= ranks <= k
+                    owner = np.nonzero(kept)[0]
                     yield pa.RecordBatch.from_arrays(
                         [
                             part["left_id"].take(pa.array(owner)),
-                            pa.array([ids[i] for i in index.ravel()], type=out_type),
-                            pa.array(distance.ravel()),
+                            pa.array([ids[i] for i in index[kept]], type=out_type),
+                            pa.array(distance[kept]),
+                            pa.array(ranks[kept].astype("int32")),
                         ],
-                        names=["left_id", "neighbour_id", "distance"],
+                        names=["left_id", "neighbour_id", "distance", "rank"],
                     )
 
         step = queries.mapInArrow(search, schema)
         found = step if found is None else found.unionByName(step)
-    if exclude_self:
-        found = found.where(F.col("left_id") != F.col("neighbour_id"))
+    if pieces == 1:
+        return found
     best = Window.partitionBy("left_id").orderBy("distance", "neighbour_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

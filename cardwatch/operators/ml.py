@@ -52,8 +52,8 @@ def temporal_split(
 ) -> DataFrame:
     """``split`` = train, valid or test by position in time."""
     timed = df.where(F.col(TS).isNotNull()).withColumn("__us", F.unix_micros(F.col(TS).cast("timestamp")))
-    placed = prefix_sum(timed, ["__us", key], (), (), rows_per_slice)
     n = timed.count()
+    placed = prefix_sum(timed, ["__us", key], (), (), rows_per_slice, n=n)
     name = F.when(F.col("pos") < int(n * train), "train").when(F.col("pos") < int(n * valid), "valid").otherwise("test")
     return placed.withColumn("split", name).drop("__us", "pos")
 

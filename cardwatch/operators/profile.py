@@ -127,8 +127,8 @@ def _with_quantiles(base: DataFrame, quantiles: DataFrame, names: list[str], by:
 def concentration_curve(df: DataFrame, key: str = "cc_num", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Cumulative share of transactions over cards, most active first."""
     activity = user_activity(df, key).withColumn("__down", -F.col("n_transactions"))
-    placed = prefix_sum(activity, ["__down", key], ["n_transactions"], (), rows_per_slice)
     users, total = activity.agg(F.count(F.lit(1)), F.sum("n_transactions")).first()
+    placed = prefix_sum(activity, ["__down", key], ["n_transactions"], (), rows_per_slice, n=users)
     return placed.select(
         key,
         "n_transactions",

@@ -1,14 +1,16 @@
 """Exact median of all earlier values of a key.
 
-Short histories use the built-in percentile over a growing window. Longer
-ones are handled one slice at a time in Arrow: a slice gets its own rows plus
-the few values of earlier slices that can still become its median.
+Short histories use the built-in percentile over a growing window, whose cost
+grows with the square of the history. Longer ones stream through Arrow; those
+cut into slices are handled one slice at a time, and a slice gets its own rows
+plus the few values of earlier slices that can still become its median.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,17 +80,48 @@ def _with_median_field(df: DataFrame, name: str) -> T.StructType:
 
 
 def median_of_whole_histories(
-    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, longest: int
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, longest: int, clustered: bool = False
 ) -> DataFrame:
-    """Running prior median where every history fits one task."""
+    """Running prior median where every history fits one task.
+
+    ``clustered`` says that the rows are already laid out by key. Long
+    histories stream through Arrow in key order, many keys per batch; a
+    history that continues in the next batch is remembered until it ends.
+    """
     if longest <= SHORT_HISTORY:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.percentile(value, 0.5).over(w))
 
-    def run(rows: pa.Table) -> pa.Table:
-        return _append_medians(rows, order, value, name)
-
-    return df.groupBy(*keys).applyInArrow(run, _with_median_field(df, name))
+    def run(batches):
+        open_key, seen = None, np.empty(0)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            values = batch[value].to_numpy(zero_copy_only=False)
+            starts = _key_starts(batch, keys)
+            out = np.empty(len(values))
+            for start, end in zip(starts, [*starts[1:], len(values)]):
+                key = tuple(batch[k][start].as_py() for k in keys)
+                if key != open_key:
+                    open_key, seen = key, np.empty(0)
+                out[start:end] = prior_medians(values[start:end], seen, 0, 0)
+                seen = np.concatenate([seen, values[start:end]])
+            medians = pa.array(out, mask=np.isnan(out))
+            yield pa.RecordBatch.from_arrays([*batch.columns, medians], names=[*batch.schema.names, name])
+
+    rows = df if clustered else df.repartition(*keys)
+    return rows.sortWithinPartitions(*keys, *order).mapInArrow(run, _with_median_field(df, name))
+
+
+def _key_starts(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
+    """Row numbers where a new key begins."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[0] = True
+    for k in keys:
+        column = batch[k]
+        differs = pc.not_equal(column[1:], column[:-1])
+        new[1:] |= pc.fill_null(differs, True).to_numpy(zero_copy_only=False)
+    return np.nonzero(new)[0].tolist()
 
 
 def median_of_sliced_histories(

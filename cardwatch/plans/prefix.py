@@ -24,16 +24,17 @@ def prefix_sum(
     values: list[str] = (),
     by: list[str] = (),
     rows_per_slice: int = ROWS_PER_SLICE,
+    n: int | None = None,
 ) -> DataFrame:
     """Add ``pos`` (0-based) and ``cum_<value>`` (inclusive) in ascending order, per ``by``.
 
     No task sees more than about one slice. What earlier slices contribute is
     carried in by a join with one row per slice that continues a group; a
     slice continues at most one group, so that table has no more rows than
-    there are slices.
+    there are slices. ``n`` is the row count, if the caller knows it.
     """
     by, values = list(by), list(values)
-    plan = plan_slices(df, [*by, *order], rows_per_slice=rows_per_slice)
+    plan = plan_slices(df, [*by, *order], rows_per_slice=rows_per_slice, n=n)
     df = with_slice(df, plan)
     running = Window.partitionBy("__slice", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumns(
@@ -72,12 +73,13 @@ def exact_quantiles(
     v = F.col(value) if isinstance(value, str) else value
     counts = df.select(*by, v.cast("double").alias("__v")).where("__v is not null")
     counts = counts.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    placed = prefix_sum(counts, ["__v"], ["__c"], by, rows_per_slice)
     if by:
+        placed = prefix_sum(counts, ["__v"], ["__c"], by, rows_per_slice)
         placed = null_safe_join(placed, counts.groupBy(*by).agg(F.sum("__c").alias("__n")), by, "inner")
     else:
-        total = counts.agg(F.sum("__c")).first()[0] or 0
-        placed = placed.withColumn("__n", F.lit(total).cast("long"))
+        distinct, total = counts.agg(F.count(F.lit(1)), F.sum("__c")).first()
+        placed = prefix_sum(counts, ["__v"], ["__c"], by, rows_per_slice, n=distinct)
+        placed = placed.withColumn("__n", F.lit(total or 0).cast("long"))
     start, end = F.col("cum___c") - F.col("__c"), F.col("cum___c")
     picks = []
     for i, p in enumerate(probs):

@@ -54,13 +54,15 @@ def plan_slices(
     by: list[str] | tuple[str, ...] = (),
     rows_per_slice: int = ROWS_PER_SLICE,
     max_slices: int = MAX_SLICES,
+    n: int | None = None,
 ) -> SlicePlan:
     """Count the groups and choose cut points for those that are too long.
 
     Reads only the key and order columns. The limit grows with the input so
     that at most ``max_slices`` pieces ever exist, which bounds everything
     derived from the plan (cut points on the driver, carry tables that are
-    broadcast).
+    broadcast). A caller that knows the row count passes it as ``n`` and saves
+    the counting job when there is no key.
     """
     by, order = tuple(by), tuple(order)
     if by:
@@ -68,7 +70,7 @@ def plan_slices(
         total, largest = sizes.agg(F.sum("__n"), F.max("__n")).first()
         total, largest = total or 0, largest or 0
     else:
-        total = largest = df.count()
+        total = largest = df.count() if n is None else n
     limit = max(rows_per_slice, -(-total // max_slices))
     if largest <= limit:
         return SlicePlan(by, order, total, largest)
