@@ -226,6 +226,13 @@ def _cut_histories(rows: DataFrame, plain: DataFrame, keys: list[str], rows_per_
     of the cut cards and none builds on another's joins.
     """
     segment = [*keys, "__cs"]
+
+    def attach(left: DataFrame, right: DataFrame, on: list[str], small: bool = False) -> DataFrame:
+        """Left join; only the batch id of batch scope can be NULL."""
+        if len(keys) > 1:
+            return null_safe_join(left, right, on, small=small)
+        return left.join(F.broadcast(right) if small else right, on, "left")
+
     w = before(segment, CARD_ORDER)
     here = Window.partitionBy(*segment).orderBy(*CARD_ORDER)
 
@@ -235,7 +242,7 @@ def _cut_histories(rows: DataFrame, plain: DataFrame, keys: list[str], rows_per_
     ends = ends.withColumn("__end", F.lag("__end").over(by_slice))
 
     def timed(df: DataFrame) -> DataFrame:
-        df = null_safe_join(df, ends, segment, small=True)
+        df = attach(df, ends, segment, small=True)
         df = df.withColumn("__prev", F.coalesce(F.lag(_row_state()).over(here), "__end")).drop("__end")
         return df.withColumn("__t1", _interval())
 
@@ -261,7 +268,7 @@ def _cut_histories(rows: DataFrame, plain: DataFrame, keys: list[str], rows_per_
             **{name: F.sum(source).over(w) for name, source in sums.items()},
         }
     )
-    rows = null_safe_join(rows, card, segment, small=True)
+    rows = attach(rows, card, segment, small=True)
     for name in ("__u", "__i"):
         rows = merge_moments(rows, name)
     for name in sums:
@@ -275,25 +282,25 @@ def _cut_histories(rows: DataFrame, plain: DataFrame, keys: list[str], rows_per_
     for name, column in PLACES.items():
         local[f"__{name}_n"] = F.count(F.lit(1)).over(before([*segment, column], CARD_ORDER))
     rows = rows.withColumns(local)
-    rows = merge_moments(null_safe_join(rows, carry, [*segment, "merchant"]), "__p")
+    rows = merge_moments(attach(rows, carry, [*segment, "merchant"]), "__p")
     rows = merge_sum(rows, "__p_sum")
     for name, column in PLACES.items():
         count, new = f"__{name}_n", f"__{name}_new"
         partial = plain.groupBy(*segment, column).agg(F.count(F.lit(1)).alias(count))
         carry = carry_in(partial, [*keys, column], "__cs", sums=[count])
-        rows = merge_sum(null_safe_join(rows, carry, [*segment, column]), count)
+        rows = merge_sum(attach(rows, carry, [*segment, column]), count)
         if name == "key":
             continue
         # A place is new in the slice that carries nothing for it.
         debut = carry.groupBy(*segment).agg(F.count_if(F.col(f"c_{count}").isNull()).alias(new))
         rows = rows.withColumn(new, F.sum((F.col(count) == 0).cast("long")).over(w))
-        rows = merge_sum(null_safe_join(rows, carry_in(debut, keys, "__cs", sums=[new]), segment, small=True), new)
+        rows = merge_sum(attach(rows, carry_in(debut, keys, "__cs", sums=[new]), segment, small=True), new)
 
     # Time-range counts do not follow slices: they come from merged seconds.
     velocity = lookback_counts(plain, keys, {f"__v{name}": s for name, s in VELOCITY.items()})
-    rows = null_safe_join(rows, velocity, [*keys, "__sec"])
+    rows = attach(rows, velocity, [*keys, "__sec"])
     repeats = lookback_counts(plain, [*keys, "amt"], {"__same": DAY})
-    rows = null_safe_join(rows, repeats, [*keys, "amt", "__sec"])
+    rows = attach(rows, repeats, [*keys, "amt", "__sec"])
     rows = median_of_sliced_histories(rows, plain, keys, "__cs", CARD_ORDER, "amt", "__median", rows_per_slice)
     return rows.drop("__cs")
 

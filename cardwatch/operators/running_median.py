@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from cardwatch.plans.slices import plan_slices, with_slice
 
 SHORT_HISTORY = 256
-VALUE_SLICES = 256
 
 
 def prior_medians(values: np.ndarray, earlier: np.ndarray, skipped_low: int, skipped_high: int) -> np.ndarray:
@@ -142,11 +141,12 @@ def median_of_sliced_histories(
     """
     segment = [*keys, slice_col]
     base = plain.select(*segment, F.col(value).alias("__v"))
-    values = plan_slices(base, ["__v"], keys, rows_per_slice=max(1, rows_per_slice), max_slices=VALUE_SLICES)
+    # As many value ranges as time slices: what a slice gathers is then about its own size.
+    values = plan_slices(base, ["__v"], keys, rows_per_slice=rows_per_slice)
     base = with_slice(base, values, "__vs")
     elements = base.groupBy(*segment, "__vs", "__v").agg(F.count(F.lit(1)).alias("__c"))
 
-    # Rows per (slice, value range) on a full grid of at most slices x VALUE_SLICES cells.
+    # Rows per (slice, value range), with the empty cells: counts only, no rows.
     cells = base.groupBy(*segment, "__vs").agg(F.count(F.lit(1)).alias("__c"))
     sizes = cells.groupBy(*segment).agg(F.sum("__c").alias("__rows"))
     ranges = cells.groupBy(*keys).agg(F.collect_set("__vs").alias("__ranges"))
@@ -169,8 +169,8 @@ def median_of_sliced_histories(
     needed = grid.where("__older > 0 and __below < __to and __below + __older > __from")
     needed = needed.select(*keys, F.col(slice_col).alias("__for"), "__vs", "__below", "__all", "__from", "__to")
 
-    # One row per needed cell: bounded by the grid, so it is safe to broadcast.
-    gathered = elements.join(F.broadcast(needed), [*keys, "__vs"]).where(F.col(slice_col) < F.col("__for"))
+    # Usually few cells are needed; whether they are broadcast is decided by their size at run time.
+    gathered = elements.join(needed, [*keys, "__vs"]).where(F.col(slice_col) < F.col("__for"))
     gathered = gathered.groupBy(*keys, F.col("__for").alias(slice_col), "__vs", "__v").agg(
         F.sum("__c").alias("__c"), *[F.first(c).alias(c) for c in ("__below", "__all", "__from", "__to")]
     )

@@ -7,35 +7,35 @@ are cut into *slices*: consecutive ranges of the sort key, each about
 are sampled once and become constants of the plan), so a retried task always
 puts a row into the same slice.
 
-Groups below the limit stay whole (slice 0) and cost nothing extra.
+Only groups above the limit get cut points. Every row looks up its slice by a
+binary search over all cut points; a group without any falls between two of
+them as a whole and stays one slice.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from datetime import date, datetime
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_SLICE = 500_000
-MAX_SLICES = 10_000
-SAMPLES_PER_CUT = 16
+MAX_SLICES = 100_000
+SAMPLES_PER_CUT = 8
+CUTTABLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType, T.BooleanType)
 
 
 @dataclass(frozen=True)
 class SlicePlan:
-    """Cut points per key; empty when every group fits one slice."""
+    """Cut points (key and order values together, ascending); none when every group fits one slice."""
 
     by: tuple[str, ...]
     order: tuple[str, ...]
     total: int
     largest: int
-    fan: int = 1
-    cuts: list = field(default_factory=list)
+    cuts: list[tuple] = field(default_factory=list)
     schema: T.StructType | None = None
 
     @property
@@ -43,9 +43,9 @@ class SlicePlan:
         return bool(self.cuts)
 
     def hot_keys(self, spark) -> DataFrame:
-        """The keys that were cut: never more than MAX_SLICES of them."""
-        key_schema = T.StructType([self.schema[c] for c in self.by])
-        return spark.createDataFrame([key for key, _ in self.cuts], key_schema)
+        """The keys that were cut: never more than there are cut points."""
+        keys = dict.fromkeys(c[: len(self.by)] for c in self.cuts)
+        return spark.createDataFrame(list(keys), T.StructType([self.schema[c] for c in self.by]))
 
 
 def plan_slices(
@@ -76,69 +76,50 @@ def plan_slices(
         return SlicePlan(by, order, total, largest)
 
     candidates = df.select(*by, *order)
+    schema = candidates.schema
+    for f in schema.fields:
+        if not isinstance(f.dataType, CUTTABLE):
+            raise TypeError(f"cannot cut by {f.name}: {f.dataType.simpleString()}")
     if by:
-        hot = sizes.where(F.col("__n") > limit).drop("__n")
-        condition = _same_key(hot, by)
-        renamed = hot.toDF(*[f"__hot_{c}" for c in by])
-        candidates = candidates.join(F.broadcast(renamed), condition(), "left_semi")
+        # At most max_slices groups exceed the limit, so their keys are safe to broadcast.
+        hot = sizes.where(F.col("__n") > limit).drop("__n").toDF(*[f"__hot_{c}" for c in by])
+        match = F.lit(True)
+        for c in by:
+            match = match & F.col(c).eqNullSafe(F.col(f"__hot_{c}"))
+        candidates = candidates.join(F.broadcast(hot), match, "left_semi")
     fraction = min(1.0, SAMPLES_PER_CUT / limit)
-    rows = candidates.sample(fraction=fraction, seed=17).orderBy(*by, *order).collect()
-    schema = candidates.schema
-
-    grouped: dict[tuple, list] = {}
-    for row in rows:
-        grouped.setdefault(tuple(row[: len(by)]), []).append(tuple(row[len(by) :]))
+    sample = candidates.sample(fraction=fraction, seed=17).orderBy(*by, *order).collect()
     step = max(1, int(fraction * limit))
-    cuts = []
-    for key, points in grouped.items():
-        chosen = points[step::step]
-        distinct = [p for i, p in enumerate(chosen) if i == 0 or p != chosen[i - 1]]
-        if distinct:
-            cuts.append((key, distinct))
-    widest = max((len(points) for _, points in cuts), default=1)
-    return SlicePlan(by, order, total, largest, max(1, int(widest**0.5)), cuts, schema)
-
-
-def _same_key(hot: DataFrame, by):
-    def condition() -> Column:
-        clause = F.lit(True)
-        for c in by:
-            clause = clause & F.col(c).eqNullSafe(F.col(f"__hot_{c}"))
-        return clause
-
-    return condition
+    cuts: list[tuple] = []
+    key, seen = None, 0
+    for row in map(tuple, sample):
+        if row[: len(by)] != key:
+            key, seen = row[: len(by)], 0
+        elif seen % step == 0 and (not cuts or row != cuts[-1]):
+            cuts.append(row)
+        seen += 1
+    return SlicePlan(by, order, total, largest, cuts, schema)
 
 
 def with_slice(df: DataFrame, plan: SlicePlan, name: str = "__slice") -> DataFrame:
-    """Add the slice number of every row (0 for groups that were not cut)."""
+    """Add the slice number: how many cut points are at or before the row."""
     if not plan.split:
         return df.withColumn(name, F.lit(0))
-    point = T.StructType([plan.schema[c] for c in plan.order])
-    here = F.struct(*[F.col(c).cast(plan.schema[c].dataType).alias(c) for c in plan.order])
-    chunked = [(key, [pts[i : i + plan.fan] for i in range(0, len(pts), plan.fan)]) for key, pts in plan.cuts]
-    if plan.by:
-        key_fields = [T.StructField(f"__hot_{c}", plan.schema[c].dataType) for c in plan.by]
-        table = df.sparkSession.createDataFrame(
-            [(*key, chunks) for key, chunks in chunked],
-            T.StructType([*key_fields, T.StructField("__chunks", T.ArrayType(T.ArrayType(point)))]),
-        )
-        # At most MAX_SLICES cut points in total, so the table is safe to broadcast.
-        out = df.join(F.broadcast(table), _same_key(table, plan.by)(), "left")
-        out = out.withColumn(name, _locate(F.col("__chunks"), here, plan.fan))
-        return out.drop("__chunks", *[f.name for f in key_fields])
-    text = json.dumps([[dict(zip(plan.order, p)) for p in chunk] for chunk in chunked[0][1]], default=_plain)
-    constant = F.from_json(F.lit(text), T.ArrayType(T.ArrayType(point)))
-    return df.withColumn(name, _locate(constant, here, plan.fan))
-
-
-def _plain(value):
-    if isinstance(value, (Decimal, date, datetime)):
-        return str(value)
-    raise TypeError(type(value))
-
-
-def _locate(chunks: Column, here: Column, fan: int) -> Column:
-    """How many cut points are at or before the row: first the chunk, then inside it."""
-    passed = F.size(F.filter(chunks, lambda c: c[0] <= here))
-    inside = F.size(F.filter(F.element_at(chunks, F.greatest(passed, F.lit(1))), lambda c: c <= here))
-    return F.when(chunks.isNull() | (passed <= 0), 0).otherwise((passed - 1) * fan + inside).cast("int")
+    point = T.StructType([plan.schema[c] for c in (*plan.by, *plan.order)])
+    here = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in point.fields])
+    text = json.dumps([dict(zip(point.names, cut)) for cut in plan.cuts])
+    # Parsed once while planning: the tasks see a constant array.
+    cuts = F.from_json(F.lit(text), T.ArrayType(point))
+    return df.withColumn(name, _count_at_or_before(cuts, len(plan.cuts), here))
+
+
+def _count_at_or_before(cuts: Column, n: int, here: Column) -> Column:
+    """Binary search over an ascending constant array."""
+    strides = [1 << i for i in reversed(range(n.bit_length()))]
+
+    def advance(found: Column, stride: Column) -> Column:
+        probe = found + stride
+        inside = F.element_at(cuts, F.least(probe, F.lit(n))) <= here
+        return F.when((probe <= n) & inside, probe).otherwise(found)
+
+    return F.aggregate(F.array(*map(F.lit, strides)), F.lit(0), advance)
