@@ -53,22 +53,21 @@ def as_transactions(events: DataFrame) -> DataFrame:
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Versioned predictions bound to order lines and their dimensions.
 
-    The dimensions keep their join strategy open: suppliers grow with the
-    data, so whether they are broadcast is decided by their size at run time.
+    Dimensions are joined one by one, so that Spark knows the size of each and
+    broadcasts it only if it is small; orders and suppliers grow with the data.
     """
-    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
-    places = (
-        table(spark, folder, "supplier")
-        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", "s_name", "n_name", "r_name")
-    )
+    def dimension(name: str) -> DataFrame:
+        return table(spark, folder, name)
+
     risk = (F.col("l_discount") * 10).cast("decimal(12,6)")
     second = ((F.col("o_orderkey") * 7919) % 86400).cast("int")
     event_time = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second)
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+        table(spark, folder, "lineitem")
+        .join(dimension("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(dimension("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(dimension("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(dimension("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("trans_num"),
             F.col("l_shipdate").cast("timestamp").alias("created_at"),
