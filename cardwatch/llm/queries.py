@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cardwatch.llm import exact_dedup, language, mixing, near_dedup, packing, quality, sharding, tokens
+from cardwatch.llm import exact_dedup, fingerprint, language, mixing, near_dedup, packing, quality, sharding, tokens
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,6 +41,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, folder, "documents"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
+    "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
 }
