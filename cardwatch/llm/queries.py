@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cardwatch.llm import exact_dedup, fingerprint, language, mixing, near_dedup, packing, quality, sharding, tokens
+from cardwatch.llm import exact_dedup, fingerprint, language, mixing, near_dedup, packing, quality, sharding, suffix_dedup, tokens
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.interleave(_table(spark, folder, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeats_removed(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_near_dedup": op2_near_dedup,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE = {
