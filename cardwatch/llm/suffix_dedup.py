@@ -228,9 +228,8 @@ def _sift(runs: DataFrame, length: int, group_runs: int) -> DataFrame:
                 send_m = np.concatenate([lead_m[previous[opens]], m[index]])
                 send_part = np.concatenate([np.zeros(opens.sum(), np.int64), number[index] // group_runs])
                 kinds = int(number[-1])
-            elif new_anchor.any():
-                kinds = 0
-            if len(index) and np.flatnonzero(new_anchor)[-1:] > index[-1:]:
+            opened = np.flatnonzero(new_anchor)
+            if len(opened) and not (len(index) and index[-1] > opened[-1]):
                 kinds = 0
             leader = (int(lead_d[-1]), int(lead_p[-1]), int(m[span_at[-1]]) if span_at[-1] >= 0 else leader[2])
             last = (a[-1], s[-1], d[-1], p[-1], m[-1])
