@@ -50,15 +50,12 @@ class QualityNet:
             np.zeros(1, f),
         )
 
-    def windows(self, padded: np.ndarray) -> np.ndarray:
-        """Embedded windows of a byte row whose length is a multiple of the hop plus the kernel's overhang."""
-        e = self.embed[padded].reshape(-1)
-        view = np.lib.stride_tricks.sliding_window_view(e, KERNEL * EMBED)[:: STRIDE * EMBED]
-        return np.ascontiguousarray(view)
-
-    def hop_maxima(self, padded: np.ndarray) -> np.ndarray:
-        w = self.windows(padded)
-        return (w @ self.filters).reshape(-1, _WINDOWS, FILTERS).max(1) + self.shift
+    def hop_maxima(self, rows: np.ndarray) -> np.ndarray:
+        """The largest response of each filter in each hop; a row is a hop and the bytes the last window reaches beyond it."""
+        e = self.embed[rows].reshape(len(rows), -1)
+        view = np.lib.stride_tricks.sliding_window_view(e, KERNEL * EMBED, axis=1)[:, :: STRIDE * EMBED]
+        flat = np.ascontiguousarray(view).reshape(-1, KERNEL * EMBED)
+        return (flat @ self.filters).reshape(-1, _WINDOWS, FILTERS).max(1) + self.shift
 
     def probability(self, hops: np.ndarray, first: np.ndarray) -> np.ndarray:
         """From the maxima of all hops and each document's first hop (with the end appended)."""
@@ -73,16 +70,20 @@ class QualityNet:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents laid out on hop boundaries, zero-filled; each document's first hop."""
+def _hops(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's hops, zero-filled, with what follows in the same document; each document's first hop."""
     lengths = np.diff(offsets)
-    hops = np.maximum(1, -(-lengths // HOP))
-    first = np.concatenate([[0], np.cumsum(hops)])
-    out = np.zeros(first[-1] * HOP + KERNEL - STRIDE, np.uint8)
+    count = np.maximum(1, -(-lengths // HOP))
+    first = np.concatenate([[0], np.cumsum(count)])
+    flat = np.zeros(first[-1] * HOP, np.uint8)
     for i, n in enumerate(lengths):
         s = first[i] * HOP
-        out[s : s + n] = data[offsets[i] : offsets[i + 1]]
-    return out, first
+        flat[s : s + n] = data[offsets[i] : offsets[i + 1]]
+    rows = np.zeros((first[-1], HOP + KERNEL - STRIDE), np.uint8)
+    rows[:, :HOP] = flat.reshape(-1, HOP)
+    rows[:-1, HOP:] = rows[1:, : KERNEL - STRIDE]
+    rows[first[1:] - 1, HOP:] = 0
+    return rows, first
 
 
 def fit(texts: list[list[bytes]], labels: list[int], steps: int = 520, batch: int = 64, rate: float = 0.01) -> QualityNet:
@@ -195,13 +196,8 @@ def score(docs: DataFrame, net: QualityNet, threshold: float = THRESHOLD) -> Dat
             data, offsets = utf8_view(batch.column("text"))
             p = np.zeros(batch.num_rows)
             for i, j in blocks(offsets, 1 << 18):
-                padded, first = _padded(data, offsets[i : j + 1])
-                hops = np.concatenate(
-                    [
-                        net.hop_maxima(padded[h * HOP : min(first[-1], h + 1024) * HOP + KERNEL - STRIDE])
-                        for h in range(0, first[-1], 1024)
-                    ]
-                )
+                rows, first = _hops(data, offsets[i : j + 1])
+                hops = np.concatenate([net.hop_maxima(rows[h : h + 1024]) for h in range(0, len(rows), 1024)])
                 p[i:j] = net.probability(hops, first)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))],

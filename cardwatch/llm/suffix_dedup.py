@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ ANCHOR = 32
 #: Runs of one anchor that are sorted together; more are sorted in parts and compared by digest afterwards.
 GROUP_RUNS = 256
 SORT_BYTES = 1 << 19
-RUNS = "anchor long, span long, doc_id long, start long, starts int"
+RUNS = "anchor long, span long, doc_id long, start long, starts int, settled boolean"
 
 
 # --- suffix sorting in two stages ------------------------------------------------------------
@@ -169,6 +170,12 @@ def _all_runs(docs: DataFrame, length: int) -> DataFrame:
             if not parts:
                 continue
             anchor, span, start, size, doc = (np.concatenate(c) for c in zip(*parts))
+            # Of equal runs of a batch all but the earliest are settled here, so a hot run is sent once by each batch.
+            by = np.lexsort((start, doc, span, anchor))
+            first = np.concatenate([[True], (anchor[by][1:] != anchor[by][:-1]) | (span[by][1:] != span[by][:-1])])
+            lead = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+            settled = np.zeros(len(by), bool)
+            settled[by] = ~first & ((doc[by] != doc[lead]) | (start[by] != start[lead]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(anchor.view(np.int64)),
@@ -176,15 +183,16 @@ def _all_runs(docs: DataFrame, length: int) -> DataFrame:
                     pa.array(doc),
                     pa.array(start.astype(np.int64)),
                     pa.array(size.astype(np.int32)),
+                    pa.array(settled),
                 ],
-                names=["anchor", "span", "doc_id", "start", "starts"],
+                names=["anchor", "span", "doc_id", "start", "starts", "settled"],
             )
 
     return docs.mapInArrow(run, RUNS)
 
 
 def _sift(runs: DataFrame, length: int, group_runs: int) -> DataFrame:
-    """Runs in order of (anchor, span, doc_id, start) -> repeated stretches and the runs still to be compared.
+    """Runs, the settled ones first, then by (anchor, span, doc_id, start) -> repeated stretches and runs still to be compared.
 
     ``part`` is -1 for a stretch that is repeated as a whole, else the number
     of the comparison group among those of its anchor. A batch of rows is all
@@ -196,6 +204,12 @@ def _sift(runs: DataFrame, length: int, group_runs: int) -> DataFrame:
         leader = None  # the earliest row of the current span
         kinds = 0  # spans of the current anchor sent for comparison
         for batch in batches:
+            done = batch.filter(batch.column("settled"))
+            if done.num_rows:
+                ready = [done.column(c).cast(pa.int64()) for c in ("anchor", "doc_id", "start", "starts")]
+                ready.insert(1, pa.array(np.full(done.num_rows, -1)))
+                yield pa.RecordBatch.from_arrays(ready, names=["anchor", "part", "doc_id", "start", "starts"])
+                batch = batch.filter(pc.invert(batch.column("settled")))
             a, s, d, p, m = (batch.column(c).to_numpy() for c in ("anchor", "span", "doc_id", "start", "starts"))
             if last is not None:
                 a, s, d, p, m = (np.concatenate([[v], x]) for v, x in zip(last, (a, s, d, p, m)))
@@ -363,7 +377,9 @@ def repeated_stretches(docs: DataFrame, work: Workspace, length: int = LENGTH, g
     spark = docs.sparkSession
     arrow_limits(spark)
     source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    runs = _all_runs(source, length).repartition("anchor").sortWithinPartitions("anchor", "span", "doc_id", "start")
+    spread = F.when(F.col("settled"), F.xxhash64("doc_id", "start")).otherwise(F.col("anchor"))
+    runs = _all_runs(source, length).repartition(spread)
+    runs = runs.sortWithinPartitions(F.col("settled").desc(), "anchor", "span", "doc_id", "start")
     sifted = work.write(_sift(runs, length, group_runs), "sifted")
     whole = sifted.where("part < 0").select("doc_id", "start", (F.col("start") + F.col("starts") + length - 1).alias("end"))
 

@@ -27,6 +27,7 @@ CACHED_PAIRS = 400_000
 OUT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, bytes_within_limit long"
 #: How the tokenizer's pattern splits text into words.
 _WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Where the pattern above and the library's classes of characters may part; such texts are split by the library.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")
 
@@ -141,13 +142,13 @@ class PrefixCounter(dict):
                 base, blank = base + 1, ""
                 continue
             counts = [base + c for c in self.prefixes(w)]
-            if w[0] == "'" and len(w) == 3:
+            if w in _CONTRACTIONS:
                 counts[1] = base + self["'"] + self[w[1]]  # the cut contraction is two words
-            if blank and w[0] == " ":
-                counts[0] = before_blank + self[blank + " "]  # the blank belongs to the run before it until a word follows
+            if blank and w[0].isspace():
+                counts[0] = before_blank + self[blank + w[0]]  # until a word follows, this blank belongs to the run before it
             out += counts
-            before_blank, blank = (base, w) if w.isspace() else (base, "")
-            base = out[-1]
+            before_blank, blank = (base, w) if w.isspace() and not blank else (base, "")
+            base += self[w]
         return np.array(out, np.int64)
 
     def within(self, text: str, limit: int) -> int:
