@@ -49,19 +49,46 @@ NIGHT_ENDS = 6
 DAY = 86_400
 VELOCITY = {"1s": 1, "10s": 10, "60s": 60, "1h": 3_600, "2h": 7_200}
 
-FEATURES = (
-    "A1_amt_diff_prev A2_amt_user_cum_mean A3_amt_dev_user_cum_median A4_identical_amt_cnt_24h "
-    "A5_amt_user_std_score A6_amt_within_1std_user A7_amt_diff_merchant_mean A8_merchant_amt_std "
-    "A9_user_merchant_cum_mean A10_user_merchant_cum_std A11_user_merchant_cum_sum "
-    "A12_user_merchant_global_mean A13_user_merchant_global_std A14_user_merchant_global_sum "
-    "A15_amt_within_2std_user_merchant A16_amt_within_confidence_user_merchant "
-    "T1_time_diff_sec T2_amt_time_angle T3_hour_sin T4_hour_cos T5_is_madrugada "
-    "T6_user_madrugada_ratio_cum T7_user_hour_vonmises_proxy "
-    "T8_txn_count_1s T8_txn_count_10s T8_txn_count_60s T8_txn_count_1h T8_txn_count_2h "
-    "T9_time_interval_coherent L1_user_city_visit_count L2_user_country_visit_count "
-    "L3_user_unique_city_count L3_user_unique_country_count L4_user_city_txn_ratio "
-    "L4_user_country_txn_ratio L5_same_location_as_prev L6_location_seen_before"
-).split()
+# The engineered columns in their order.
+FEATURES = [
+    "A1_amt_diff_prev",
+    "A2_amt_user_cum_mean",
+    "A3_amt_dev_user_cum_median",
+    "A4_identical_amt_cnt_24h",
+    "A5_amt_user_std_score",
+    "A6_amt_within_1std_user",
+    "A7_amt_diff_merchant_mean",
+    "A8_merchant_amt_std",
+    "A9_user_merchant_cum_mean",
+    "A10_user_merchant_cum_std",
+    "A11_user_merchant_cum_sum",
+    "A12_user_merchant_global_mean",
+    "A13_user_merchant_global_std",
+    "A14_user_merchant_global_sum",
+    "A15_amt_within_2std_user_merchant",
+    "A16_amt_within_confidence_user_merchant",
+    "T1_time_diff_sec",
+    "T2_amt_time_angle",
+    "T3_hour_sin",
+    "T4_hour_cos",
+    "T5_is_madrugada",
+    "T6_user_madrugada_ratio_cum",
+    "T7_user_hour_vonmises_proxy",
+    "T8_txn_count_1s",
+    "T8_txn_count_10s",
+    "T8_txn_count_60s",
+    "T8_txn_count_1h",
+    "T8_txn_count_2h",
+    "T9_time_interval_coherent",
+    "L1_user_city_visit_count",
+    "L2_user_country_visit_count",
+    "L3_user_unique_city_count",
+    "L3_user_unique_country_count",
+    "L4_user_city_txn_ratio",
+    "L4_user_country_txn_ratio",
+    "L5_same_location_as_prev",
+    "L6_location_seen_before",
+]
 LOCATIONS = ["location_country", "location_city", "location_key"]
 
 # The second comes first so that the time-range windows find their order ready.
@@ -392,11 +419,12 @@ def build_features_incremental(
     )
     old = F.col("__new") == F.lit(False)
     cards = batch.select("cc_num").distinct().withColumnRenamed("cc_num", "__card")
-    merchants = batch.select("merchant").distinct().withColumnRenamed("merchant", "__merchant")
+    merchant = F.coalesce("merchant", F.lit(UNKNOWN))  # as the build names it: a missing merchant is one
+    merchants = batch.select(merchant.alias("__merchant")).distinct()
     known = marked.where(old)
     of_cards = known.join(cards, F.col("cc_num") == F.col("__card"), "left_semi")
     others = known.join(cards, F.col("cc_num") == F.col("__card"), "left_anti")
-    of_merchants = others.join(merchants, F.col("merchant").eqNullSafe(F.col("__merchant")), "left_semi")
+    of_merchants = others.join(merchants, merchant == F.col("__merchant"), "left_semi")
     relevant = of_cards.unionByName(of_merchants).unionByName(marked.where("__new"))
     built = build_features(relevant, amt_prior=amt_prior, **options)
     return built.where("__new").drop("__new")

@@ -6,6 +6,8 @@ import random
 import time
 from datetime import datetime, timezone
 
+from statistics import median
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -234,7 +236,7 @@ def smote_nc(
     k = min(k, few - 1)
     minority = df.where(y == 1)
     spreads = minority.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in num]).first()
-    penalty = sorted(spreads[c] or 0.0 for c in num)[len(num) // 2] if num else 1.0
+    penalty = median(spreads[c] or 0.0 for c in num) if num else 1.0
     parts = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in num]
     codes = [F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cat]
     vectors = minority.select(

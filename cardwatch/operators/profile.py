@@ -618,7 +618,22 @@ def time_histograms(df: DataFrame) -> DataFrame:
     return smooth.select("histogram", "slot", "n", ((F.col("n") + 1.0) / total).alias("prob")).orderBy("histogram", "slot")
 
 
-USER_COLUMNS = "cc_num first last gender street city state zip lat long city_pop job dob".split()
+# The personal fields of a card.
+USER_COLUMNS = [
+    "cc_num",
+    "first",
+    "last",
+    "gender",
+    "street",
+    "city",
+    "state",
+    "zip",
+    "lat",
+    "long",
+    "city_pop",
+    "job",
+    "dob",
+]
 
 
 def user_pool(df: DataFrame, order_by: list[str | Column]) -> DataFrame:

@@ -52,14 +52,26 @@ def column_quality(df: DataFrame, cols: list[str]) -> DataFrame:
 def stratified_sample(
     df: DataFrame, label: str, n: int, seed: int, key: str = "trans_num", rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
-    """At most n rows with the class ratio kept, by seeded hash of the key."""
+    """At most n labelled rows with the ratio of all classes kept, by seeded hash of the key.
+
+    Rows without a label are never part of the sample, whatever its size. A
+    class gets its share of n rounded down; what is left over goes to the
+    largest class other than 1.
+    """
+    labelled = df.where(F.col(label).isNotNull())
     sizes = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect() if r[0] is not None}
     total = sum(sizes.values())
     if total <= n:
-        return df
-    fraud = min(sizes.get(1, 0), n * sizes.get(1, 0) // total)
-    quota = F.when(F.col(label).cast("int") == 1, fraud).otherwise(min(sizes.get(0, 0), n - fraud))
-    mixed = df.where(F.col(label).isNotNull()).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+        return labelled
+    quotas = {c: n * size // total for c, size in sizes.items()}
+    rest = n - sum(quotas.values())
+    for c in sorted(sizes, key=lambda c: (c == 1, -sizes[c])):
+        extra = min(rest, sizes[c] - quotas[c])
+        quotas[c], rest = quotas[c] + extra, rest - extra
+    quota = F.lit(0)
+    for c, q in quotas.items():
+        quota = F.when(F.col(label) == F.lit(c), q).otherwise(quota)
+    mixed = labelled.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
     placed = prefix_sum(mixed, ["__h", key], (), [label], rows_per_slice)
     return placed.where(F.col("pos") < quota).drop("__h", "pos")
 

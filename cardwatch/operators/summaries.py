@@ -232,8 +232,10 @@ def _money_range(start: Column, size: int) -> Column:
     return F.format_string("$%,d-$%,d", start, start + size - 1)
 
 
-def amount_bucket_summary(pred: DataFrame, bucket_size: float = 100.0, newest=NEWEST, **filters) -> DataFrame:
-    """Risk by amount bucket; the report shows the lowest 24 buckets."""
+def amount_bucket_summary(
+    pred: DataFrame, bucket_size: float = 100.0, newest=NEWEST, buckets: int | None = AMOUNT_BUCKETS, **filters
+) -> DataFrame:
+    """Risk by amount bucket: the lowest ``buckets`` of them, as the report shows, or all if None."""
     size = F.lit(float(bucket_size))
     start = F.floor(or_zero(_amt()) / size) * size
     summary = (
@@ -242,7 +244,8 @@ def amount_bucket_summary(pred: DataFrame, bucket_size: float = 100.0, newest=NE
         .agg(*_risk_measures(amount=False))
         .withColumn("bucket_label", _money_range(F.col("bucket_start").cast("long"), int(bucket_size)))
     )
-    return top_k(summary, [F.col("bucket_start").asc_nulls_last()], AMOUNT_BUCKETS)
+    order = [F.col("bucket_start").asc_nulls_last()]
+    return summary.orderBy(*order) if buckets is None else top_k(summary, order, buckets)
 
 
 # --- chart projections ---------------------------------------------------------

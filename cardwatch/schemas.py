@@ -72,6 +72,7 @@ PREDICTION_BATCHES = T.StructType(
 )
 
 # Columns that identify or leak rather than describe: never model inputs.
+# Columns that modelling leaves out.
 DOMAIN_DROPS = (
     "Unnamed: 0",
     "trans_num",
@@ -85,6 +86,7 @@ DOMAIN_DROPS = (
 )
 
 # Columns worth a leakage review before modelling.
+# Columns looked at for leakage.
 LEAKAGE_CANDIDATES = ("trans_num", "unix_time", "merch_lat", "merch_long", "lat", "long", "dob")
 
 ENGINEERED_PATTERN = r"^[ATL]\d+_"

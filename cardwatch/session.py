@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def _own_folder(prefix: str) -> str:
+    """A folder of this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each application, for the steps that run Python there."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{_own_folder('cardwatch-package-')}/cardwatch", "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the settings that decide results: the time zone, nothing else."""
+    """Pin the setting that decides results, the time zone, and ship the package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
@@ -45,6 +68,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="cardwatch-checkpoint-")
+        folder = _own_folder("cardwatch-checkpoint-")
     context.setCheckpointDir(folder)
     return folder

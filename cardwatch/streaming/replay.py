@@ -97,12 +97,18 @@ def score_stream(
 
 
 def progress_table(spark: SparkSession, sink: str) -> DataFrame:
-    """Replay summary: batches, rows, failures and total latency."""
+    """Replay summary: batches, rows, failures and total latency; the rows of a repeated batch count once."""
     log = spark.read.schema(PROGRESS_SCHEMA).parquet(f"{sink}/progress")
-    return log.agg(
-        F.countDistinct(F.when(~F.col("failed"), F.col("batch"))).alias("iterations"),
-        F.coalesce(F.sum("rows_sent"), F.lit(0)).alias("rows_sent"),
+    per_batch = log.groupBy("batch").agg(
+        F.max(~F.col("failed")).alias("succeeded"),
+        F.max(F.when(~F.col("failed"), F.col("rows_sent"))).alias("rows_sent"),
         count_where(F.col("failed")).alias("failures"),
+        F.sum("latency_sec").alias("latency_sec"),
+    )
+    return per_batch.agg(
+        count_where(F.col("succeeded")).alias("iterations"),
+        F.coalesce(F.sum("rows_sent"), F.lit(0)).alias("rows_sent"),
+        F.coalesce(F.sum("failures"), F.lit(0)).alias("failures"),
         or_zero(F.sum("latency_sec")).alias("total_latency_sec"),
     )
 

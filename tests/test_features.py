@@ -184,3 +184,14 @@ def test_linked_list_median_matches_definition():
         want = np.median(np.concatenate([old, new[:i]]))
         assert got[i] == want and trimmed[i] == want
     assert math.isnan(running_median.prior_medians(new, np.empty(0), 0, 0)[0])
+
+
+def test_incremental_build_with_missing_merchants(spark):
+    schema = "trans_num string, cc_num long, trans_date_trans_time timestamp_ntz, amt double, category string, merchant string, city string, state string, is_fraud int"
+    day = [datetime(2024, 1, k + 1) for k in range(3)]
+    rows = [("a", 1, day[0], 10.0, "x", None, "c", "s", 0), ("b", 2, day[1], 20.0, "x", "UNK", "c", "s", 0), ("c", 3, day[2], 30.0, "x", None, "c", "s", 0)]
+    table = spark.createDataFrame(rows, schema).withColumn("trans_date_trans_time", F.col("trans_date_trans_time").cast("timestamp"))
+    full = build_features(table, amt_prior=5.0).where("trans_num = 'c'").first()
+    part = build_features_incremental(table.where("trans_num <> 'c'"), table.where("trans_num = 'c'"), amt_prior=5.0).first()
+    assert full["A7_amt_diff_merchant_mean"] == part["A7_amt_diff_merchant_mean"] == 15.0
+    assert full["A8_merchant_amt_std"] == part["A8_merchant_amt_std"]
