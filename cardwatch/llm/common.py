@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardwatch.session import ensure_checkpoint_dir
+from cardwatch.session import ensure_checkpoint_dir, ship_package
 
 #: White space of the text contracts: the space and the control characters from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -38,7 +38,8 @@ class Workspace:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a worker holds few whole texts at a time."""
+    """Small Arrow batches, so that a worker holds few whole texts at a time; the workers get this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
