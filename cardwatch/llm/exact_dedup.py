@@ -99,5 +99,7 @@ def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col:
     Ids are taken to be unique; the join is by id and null ids are kept.
     """
     dropped = exact_duplicates(docs, None, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    # Written first: an aggregate or join above would keep a digest with very many copies from being split.
+    dropped = Workspace(docs.sparkSession, "exact-dropped").write(dropped.select("doc_id"), "ids")
     gone = dropped.select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
