@@ -153,8 +153,13 @@ class PrefixCounter(dict):
 
     def within(self, text: str, limit: int) -> int:
         """Bytes of the longest prefix that has at most ``limit`` tokens."""
-        fits = np.flatnonzero(self.prefix_counts(text) <= limit)
-        return len(text[: int(fits[-1])].encode())
+        words, base, k = self.pieces(text), 0, 0
+        while k < len(words) and base <= limit + 8:  # a prefix has at most one token less than its whole words
+            base += 1 if words[k] in self.special else self[words[k]]
+            k += 1
+        head = "".join(words[:k])
+        fits = np.flatnonzero(self.prefix_counts(head) <= limit)
+        return len(head[: int(fits[-1])].encode())
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
