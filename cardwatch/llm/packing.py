@@ -35,7 +35,7 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        vocabulary, self.special = byte_vocabulary(path)
+        vocabulary, _, self.special = byte_vocabulary(path)
         self.exact = Tokenizer.from_file(path)
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens=self.special)
         self.allowed = set(self.special)

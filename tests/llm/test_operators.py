@@ -366,3 +366,24 @@ def test_rows_that_repeat(spark):
     assert packing.pack(twice, PATH).where("doc_id = 2").count() == 1
     assert {r["n_removed"] for r in rows(suffix_dedup.repeats_removed(twice)) if r["doc_id"] == 1} == {brute_removed([(1, LONG)], 100)[1][1]}
     assert tokens.token_counts(twice, PATH).count() == 3
+
+
+def test_tokens_stay_apart_as_in_the_plain_encoder():
+    counter = tokens.PrefixCounter(PATH)
+    rng, names = random.Random(9), sorted(counter.ids)
+    back = {i: t for t, i in counter.ids.items()}
+
+    def encoded(data):
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while True:
+            ranks = [(counter.ids.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            if not ranks or (low := min(ranks))[0] == 1 << 30:
+                return [counter.ids[p] for p in parts]
+            parts[low[1] : low[1] + 2] = [parts[low[1]] + parts[low[1] + 1]]
+
+    pairs = [(counter.ids[rng.choice(names)], counter.ids[rng.choice(names)]) for _ in range(1_500)]
+    pairs += [(a, b) for m in rng.sample(sorted(counter.halves), 300) for a, b in [counter.halves[m]]]
+    for word in rng.sample(names, 1_500):  # every way to cut a token in two known ones
+        pairs += [(counter.ids[word[:k]], counter.ids[word[k:]]) for k in range(1, len(word)) if word[:k] in counter.ids and word[k:] in counter.ids]
+    for a, b in pairs:
+        assert counter._no_merge_across(a, b) == (encoded(back[a] + back[b]) == [a, b]), (back[a], back[b])
