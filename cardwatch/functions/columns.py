@@ -85,3 +85,8 @@ def correlation(a: str | Column, b: str | Column) -> Column:
     x, y = _col(a).cast("double"), _col(b).cast("double")
     spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
     return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
+def seeded_order(key: str, seed: int) -> Column:
+    """A text that puts keys into a repeatable random order, one that any SQL engine can follow."""
+    return F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))), 256)

@@ -1,9 +1,9 @@
-"""Exact nearest neighbours of many rows in a smaller set of rows.
+"""Exact nearest neighbours of every row of one set in another.
 
-The smaller side is shipped to the tasks in pieces of bounded size. Within a
-task distances are matrix products over Arrow batches, and only the k best per
-row ever leave it. If the smaller side needs more than one piece, each piece
-contributes its k best and a final top-k per row merges them.
+Both sides are dealt into blocks of bounded size by a hash of the id. Each pair
+of blocks meets in one task through a shuffle, which returns the k best of the
+right block for each row of the left one; a top-k per row merges the blocks.
+Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 PIECE_BYTES = 64 << 20
 BLOCK_ROWS = 2_048
+#: Cells of a distance matrix, and numbers of exact differences, held at a time.
+CELLS = 1 << 22
+_EPS = float(np.finfo(np.float64).eps)
 
 
 def _matrix(column, dtype: str = "float64") -> np.ndarray:
@@ -33,29 +36,43 @@ def _mismatches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(queries, points, k: int, query_codes=None, point_codes=None, penalty: float = 0.0):
-    """Indices and distances of the k nearest points per query, nearest first, ties by index.
+def nearest(queries, points, k: int, query_codes=None, point_codes=None, penalty: float = 0.0, skip=None):
+    """(query, point, distance) of the k nearest points per query, nearest first, equal distances by point.
 
-    Each differing code adds ``penalty`` to the squared distance.
+    Each differing code adds ``penalty`` to the squared distance. ``skip`` has
+    (query, point) index pairs that do not count.
     """
-    # Squared lengths find candidates fast; the kept distances are computed exactly.
-    rough = (queries**2).sum(1)[:, None] - 2 * queries @ points.T + (points**2).sum(1)[None, :]
+    # Matrix products find candidates fast. They are off by rounding, so every
+    # point within the rounding bound of the k-th is measured exactly.
+    centre = points.mean(0)
+    q, p = queries - centre, points - centre
+    q_length, p_length = (q**2).sum(1), (p**2).sum(1)
+    rough = q_length[:, None] - 2 * q @ p.T + p_length[None, :]
     extra = None
     if query_codes is not None:
         extra = penalty * _mismatches(query_codes, point_codes)
         rough = rough + extra
-    width = min(len(points), k + 8)
-    if width < len(points):
-        candidates = np.sort(np.argpartition(rough, width - 1, axis=1)[:, :width], axis=1)
-    else:
-        candidates = np.broadcast_to(np.arange(len(points)), (len(queries), len(points)))
-    rows = np.arange(len(queries))[:, None]
-    squared = ((queries[:, None, :] - points[candidates]) ** 2).sum(-1)
+    if skip is not None:
+        rough[skip] = np.inf
+    width, reach = queries.shape[1], np.sqrt(q_length) + np.sqrt(p_length.max())
+    largest = max(np.abs(queries).max(initial=0), np.abs(points).max(initial=0))
+    slack = 4 * _EPS * ((width + 8) * reach**2 + 4 * np.sqrt(width) * largest * reach + (extra.max() if extra is not None else 0))
+    slack += (4 * _EPS * largest) ** 2 * width
+    last = np.partition(rough, min(k, len(points)) - 1, axis=1)[:, min(k, len(points)) - 1]
+    query, point = np.nonzero((rough <= (last + 2 * slack)[:, None]) & np.isfinite(rough))
+    squared = np.empty(len(query))
+    step = max(1, CELLS // max(1, width))
+    for at in range(0, len(query), step):
+        i, j = query[at : at + step], point[at : at + step]
+        squared[at : at + step] = ((queries[i] - points[j]) ** 2).sum(1)
     if extra is not None:
-        squared = squared + extra[rows, candidates]
-    exact = np.sqrt(squared)
-    order = np.argsort(exact, axis=1, kind="stable")[:, :k]
-    return candidates[rows, order], exact[rows, order]
+        squared += extra[query, point]
+    distance = np.sqrt(squared)
+    order = np.lexsort((point, distance, query))
+    query, point, distance = query[order], point[order], distance[order]
+    first = np.searchsorted(query, np.arange(len(queries)))
+    best = np.arange(len(query)) - first[query] < k
+    return query[best], point[best], distance[best]
 
 
 def knn_join(
@@ -75,61 +92,65 @@ def knn_join(
     Equal distances go to the smaller right id. ``exclude_self`` skips the
     row's own id when a set is joined with itself. ``codes`` names an array of
     long codes; each differing one adds ``penalty`` to the squared distance.
+    Rows without a vector have no neighbours and are nobody's neighbour.
     """
-    count, width = right.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
-    pieces = max(1, -(-int(count) * max(int(width or 1), 1) * 8 // piece_bytes))
-    id_type = right.schema[right_id].dataType
+    spark = left.sparkSession
+    parts = [F.col(vec).cast("array<double>").alias("v")]
+    if codes:
+        parts.append(F.col(codes).cast("array<bigint>").alias("c"))
+    queries = left.where(F.col(vec).isNotNull()).select(F.col(left_id).alias("id"), *parts)
+    points = right.where(F.col(vec).isNotNull()).select(F.col(right_id).alias("id"), *parts)
+
+    size = (F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1)))
+    (n_left, width), (n_right, _) = queries.agg(*size).first(), points.agg(*size).first()
+    fitting = max(1, piece_bytes // (8 * max(1, width)))
+    right_blocks = max(1, -(-n_right // fitting))
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left_blocks = max(1, -(-n_left // fitting), min(parallel, -(-n_left // BLOCK_ROWS)))
+
+    id_type = points.schema["id"].dataType
     schema = T.StructType(
         [
-            T.StructField("left_id", left.schema[left_id].dataType),
+            T.StructField("left_id", queries.schema["id"].dataType),
             T.StructField("neighbour_id", id_type),
             T.StructField("distance", T.DoubleType()),
-            T.StructField("rank", T.IntegerType()),
         ]
     )
-    wanted = k + 1 if exclude_self else k
-    out_type = to_arrow_type(id_type)
-    parts = [F.col(vec).cast("array<double>").alias("v")]
-    if codes:
-        parts.append(F.col(codes).cast("array<bigint>").alias("c"))
-    queries = left.select(F.col(left_id).alias("left_id"), *parts)
-    found = None
-    for piece in range(pieces):
-        mine = right.where(F.pmod(F.xxhash64(right_id), F.lit(pieces)) == piece) if pieces > 1 else right
-        # One piece: at most about piece_bytes, whatever the size of the right side.
-        table = mine.select(F.col(right_id).alias("id"), *parts).orderBy("id").toArrow()
-        sent = (table["id"].to_pylist(), _matrix(table["v"]), _matrix(table["c"], "int64") if codes else None)
-        shipped = left.sparkSession.sparkContext.broadcast(sent)
-
-        def search(batches, shipped=shipped):
-            ids, points, point_codes = shipped.value
-            for batch in batches:
-                for start in range(0, batch.num_rows, BLOCK_ROWS):
-                    part = batch.slice(start, BLOCK_ROWS)
-                    if not ids:
-                        continue
-                    mine_codes = _matrix(part["c"], "int64") if point_codes is not None else None
-                    index, distance = nearest(_matrix(part["v"]), points, wanted, mine_codes, point_codes, penalty)
-                    kept = np.ones(index.shape, dtype=bool)
-                    if exclude_self:
-                        own = part["left_id"].to_pylist()
-                        kept = np.array([[ids[i] != mine for i in row] for row, mine in zip(index, own)])
-                    ranks = np.cumsum(kept, axis=1)
-                    kept &= ranks <= k
-                    owner = np.nonzero(kept)[0]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part["left_id"].take(pa.array(owner)),
-                            pa.array([ids[i] for i in index[kept]], type=out_type),
-                            pa.array(distance[kept]),
-                            pa.array(ranks[kept].astype("int32")),
-                        ],
-                        names=["left_id", "neighbour_id", "distance", "rank"],
-                    )
-
-        step = queries.mapInArrow(search, schema)
-        found = step if found is None else found.unionByName(step)
-    if pieces == 1:
-        return found
+    arrow_types = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def search(mine: pa.Table, others: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        others = others.sort_by("id")
+        if mine.num_rows and others.num_rows:
+            point_ids, own_ids = others["id"], mine["id"]
+            vectors, point_codes = _matrix(others["v"]), _matrix(others["c"], "int64") if codes else None
+            places: dict = {}
+            if exclude_self:
+                for i, name in enumerate(point_ids.to_pylist()):
+                    places.setdefault(name, []).append(i)
+            step = max(1, min(BLOCK_ROWS, CELLS // others.num_rows))
+            for at in range(0, mine.num_rows, step):
+                part = mine.slice(at, step)
+                skip = None
+                if exclude_self:
+                    same = [(i, j) for i, name in enumerate(part["id"].to_pylist()) for j in places.get(name, ())]
+                    skip = tuple(np.array(same, np.int64).reshape(-1, 2).T)
+                query, point, distance = nearest(
+                    _matrix(part["v"]), vectors, k, _matrix(part["c"], "int64") if codes else None, point_codes, penalty, skip
+                )
+                found.append((query + at, point, distance))
+        query, point, distance = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        columns = [mine["id"].take(pa.array(query)), others["id"].take(pa.array(point)), pa.array(distance)]
+        return pa.table([c.cast(t) for c, t in zip(columns, arrow_types)], names=schema.names)
+
+    def block(n: int):
+        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    dealt_left = queries.withColumn("l", block(left_blocks)).withColumn("r", every(right_blocks))
+    dealt_right = points.withColumn("r", block(right_blocks)).withColumn("l", every(left_blocks))
+    found = dealt_left.groupBy("l", "r").cogroup(dealt_right.groupBy("l", "r")).applyInArrow(search, schema)
     best = Window.partitionBy("left_id").orderBy("distance", "neighbour_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

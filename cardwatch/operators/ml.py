@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardwatch.functions.columns import ratio
+from cardwatch.functions.columns import ratio, seeded_order
 from cardwatch.operators.knn import knn_join
 from cardwatch.operators.profile import long_format
 from cardwatch.plans.prefix import exact_quantiles, null_safe_join, prefix_sum
@@ -75,7 +75,7 @@ def split_summary(split: DataFrame) -> DataFrame:
 
 def _shuffled(df: DataFrame, label: str, seed: int, key: str, rows_per_slice: int) -> DataFrame:
     """``pos`` within the class in a seeded order."""
-    mixed = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    mixed = df.withColumn("__h", seeded_order(key, seed))
     return prefix_sum(mixed, ["__h", key], (), [label], rows_per_slice).drop("__h")
 
 

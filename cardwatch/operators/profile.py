@@ -21,6 +21,7 @@ from cardwatch.functions.columns import (
     positives,
     ratio,
     skewness_corrected,
+    seeded_order,
 )
 from cardwatch.operators.versions import dedupe_first
 from cardwatch.plans.prefix import exact_quantiles, null_safe_join, prefix_sum
@@ -260,9 +261,9 @@ def transform_amount(df: DataFrame, value: str = "amt") -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str = "trans_num") -> DataFrame:
-    """A repeatable sample of at most n rows: the n smallest seeded hashes of the key."""
-    mixed = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
-    return mixed.orderBy("__h", key).limit(n).drop("__h")
+    """A repeatable sample of at most n rows: the first n in the seeded order of the key, without gathering them in one task."""
+    mixed = df.withColumn("__h", seeded_order(key, seed))
+    return prefix_sum(mixed, ["__h", key]).where(F.col("pos") < n).drop("__h", "pos")
 
 
 # --- time -------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardwatch.functions.columns import correlation, iv_band, ratio
+from cardwatch.functions.columns import correlation, iv_band, ratio, seeded_order
 from cardwatch.operators.profile import distinct_counts, long_format
 from cardwatch.plans.prefix import equal_bin, exact_quantiles, prefix_sum
 from cardwatch.plans.slices import ROWS_PER_SLICE
@@ -52,7 +52,7 @@ def column_quality(df: DataFrame, cols: list[str]) -> DataFrame:
 def stratified_sample(
     df: DataFrame, label: str, n: int, seed: int, key: str = "trans_num", rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
-    """At most n labelled rows with the ratio of all classes kept, by seeded hash of the key.
+    """At most n labelled rows with the ratio of all classes kept, in the seeded order of the key.
 
     Rows without a label are never part of the sample, whatever its size. A
     class gets its share of n rounded down; what is left over goes to the
@@ -71,7 +71,7 @@ def stratified_sample(
     quota = F.lit(0)
     for c, q in quotas.items():
         quota = F.when(F.col(label) == F.lit(c), q).otherwise(quota)
-    mixed = labelled.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    mixed = labelled.withColumn("__h", seeded_order(key, seed))
     placed = prefix_sum(mixed, ["__h", key], (), [label], rows_per_slice)
     return placed.where(F.col("pos") < quota).drop("__h", "pos")
 

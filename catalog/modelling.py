@@ -10,7 +10,7 @@ from cardwatch.operators import evaluate, ml
 from cardwatch.operators.features import build_features
 from catalog.ingestion import scratch
 from catalog.profiling import GAPPY, gappy
-from catalog.registry import SCORED, TS, TX, Tables, add
+from catalog.registry import SCORED, TS, TX, Tables, add, sample_sql, shuffled_sql
 
 SPLIT = f"""(SELECT *, CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train' WHEN pos < floor(n * 0.85::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM
  (SELECT *, row_number() OVER (ORDER BY {TS}, trans_num) - 1 AS pos, count(*) OVER () AS n FROM {TX} t) x)"""
@@ -22,26 +22,26 @@ add(
  FROM {SPLIT} s GROUP BY split""",
     "fraud_rate",
 )
+MIXED = shuffled_sql(42)
 add(
     "m_2",
-    lambda t: ml.stratified_split(t.tx).groupBy("split", "is_fraud").agg(F.count(F.lit(1)).alias("n")),
-    f"""SELECT split, is_fraud, CASE split WHEN 'test' THEN cut ELSE n - cut END AS n FROM
- (SELECT is_fraud, count(*) AS n, round(count(*) * 0.2::DOUBLE)::BIGINT AS cut FROM {TX} t GROUP BY 1) c, (VALUES ('test'), ('train')) v(split)""",
+    lambda t: ml.stratified_split(t.tx).select("trans_num", "is_fraud", "split"),
+    f"""SELECT trans_num, is_fraud, CASE WHEN pos < round(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM {MIXED} x""",
 )
 add(
     "m_3",
-    lambda t: ml.stratified_folds(t.tx, k=4).groupBy("fold", "is_fraud").agg(F.count(F.lit(1)).alias("n")),
-    f"""SELECT fold::INTEGER AS fold, is_fraud, (n - fold + 3) // 4 AS n FROM (SELECT is_fraud, count(*) AS n FROM {TX} t GROUP BY 1) c, range(4) r(fold)""",
+    lambda t: ml.stratified_folds(t.tx, k=4).select("trans_num", "is_fraud", "fold"),
+    f"SELECT trans_num, is_fraud, (pos % 4)::INTEGER AS fold FROM {MIXED} x",
 )
 
 
 def subsample(t: Tables):
     from cardwatch.operators.selection import stratified_sample
 
-    return stratified_sample(t.tx, "is_fraud", 5000, 7).agg(F.count(F.lit(1)).alias("n"))
+    return stratified_sample(t.tx, "is_fraud", 5000, 7).select("trans_num", "is_fraud")
 
 
-add("m_4", subsample, f"SELECT least(5000, count(*)) AS n FROM {TX} t")
+add("m_4", subsample, sample_sql(5000, 7))
 add(
     "m_5",
     lambda t: ml.training_frame(t.tx.withColumn("is_fraud", F.when(F.col("category") != "view", F.col("is_fraud").cast("string")))),

@@ -113,14 +113,13 @@ add(
 
 
 def monthly_tx(t):
-    """Orders as card rows: seven years, so months matter; May 1998 is left out to make a gap."""
+    """Orders as card rows: seven years, so months matter."""
     o = t.raw("orders").withColumn(TS, F.col("o_orderdate").cast("timestamp"))
-    o = o.select(F.col("o_orderkey").alias("trans_num"), TS, F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("is_fraud"))
-    return o.where(F.date_format(TS, "yyyy-MM") != "1998-05")
+    return o.select(F.col("o_orderkey").alias("trans_num"), TS, F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("is_fraud"))
 
 
 MONTHLY_TX = f"""(SELECT o_orderkey AS trans_num, o_orderdate AS {TS}, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS is_fraud
- FROM orders WHERE strftime(o_orderdate, '%Y-%m') <> '1998-05')"""
+ FROM orders)"""
 MONTHS = f"(SELECT date_trunc('month', {TS})::DATE AS month, {VOLUME} FROM {MONTHLY_TX} t GROUP BY 1)"
 add(
     "e_10",
@@ -189,7 +188,11 @@ add(
     f"SELECT trans_num, ln(1 + greatest(amt, 0)) AS amt_log1p, least(amt, (SELECT quantile_cont(amt, 0.99) FROM {TX} u)) AS amt_clip_p99 FROM {TX} t",
     "amt_log1p amt_clip_p99",
 )
-add("e_18", lambda t: E.sample_n(t.tx, 1000, 42).select("trans_num"))
+add(
+    "e_18",
+    lambda t: E.sample_n(t.tx, 1000, 42).select("trans_num"),
+    f"SELECT trans_num FROM {TX} t ORDER BY sha256(trans_num || '|42'), trans_num LIMIT 1000",
+)
 
 
 def rate_by(key: str, alias: str, view: str = TX, least: int = 1000) -> str:

@@ -140,3 +140,15 @@ PLACED = f"""(SELECT *, CAST(cc_num % 50 - 25 AS DOUBLE) AS lat, CAST(cc_num % 9
  (cc_num % 50 - 25) + (CAST(trans_num AS BIGINT) % 13) * 0.25::DOUBLE AS merch_lat,
  (cc_num % 90 - 45) + (CAST(trans_num AS BIGINT) % 7) * 0.25::DOUBLE AS merch_long,
  CAST(cc_num % 997 AS INTEGER) AS zip, CAST(cc_num % 77 * 100 AS INTEGER) AS city_pop FROM {TX} t)"""
+
+
+def shuffled_sql(seed: int) -> str:
+    """Every transaction with its place in the seeded order of its class, and the size of the class."""
+    return f"""(SELECT trans_num, is_fraud, count(*) OVER (PARTITION BY is_fraud) AS n, count(*) OVER () AS total,
+ row_number() OVER (PARTITION BY is_fraud ORDER BY sha256(trans_num || '|{seed}'), trans_num) - 1 AS pos FROM {TX} t)"""
+
+
+def sample_sql(n: int, seed: int) -> str:
+    """The stratified sample of n rows: frauds keep their share, rounded down."""
+    return f"""SELECT trans_num, is_fraud FROM {shuffled_sql(seed)} x WHERE total <= {n} OR pos < CASE is_fraud WHEN 1 THEN {n} * n // total
+ ELSE {n} - {n} * (total - n) // total END"""

@@ -8,7 +8,7 @@ from cardwatch.functions.columns import iv_band
 from cardwatch.operators import selection as V
 from cardwatch.operators.features import build_features
 from catalog.profiling import FEATURES_SQL, GAPPY, gappy
-from catalog.registry import TX, add
+from catalog.registry import TX, add, sample_sql
 
 QUALITY_COLS = {"amt": "double", "city": "string", "category": "string", "merchant": "string", "trans_num": "string"}
 
@@ -26,10 +26,8 @@ QUALITY_R = "null_pct unique_ratio mode_pct"
 add("v_2", lambda t: V.column_quality(gappy(t), list(QUALITY_COLS)), quality_sql(GAPPY), QUALITY_R)
 add(
     "v_3",
-    lambda t: V.stratified_sample(t.tx, "is_fraud", 2000, 42).groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n")),
-    f"""SELECT is_fraud, CASE is_fraud WHEN 1 THEN f ELSE least(n, 2000 - f) END AS n FROM
- (SELECT is_fraud, count(*) AS n FROM {TX} t GROUP BY 1) c,
- (SELECT least(count(*) FILTER (WHERE is_fraud = 1), 2000 * count(*) FILTER (WHERE is_fraud = 1) // count(*)) AS f FROM {TX} t) q""",
+    lambda t: V.stratified_sample(t.tx, "is_fraud", 2000, 42).select("trans_num", "is_fraud"),
+    sample_sql(2000, 42),
 )
 
 BINS = 10

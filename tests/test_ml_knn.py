@@ -35,6 +35,30 @@ def test_knn_matches_brute_force(vectors, piece_bytes, skip_self):
     assert got == brute(data, ids(left), ids(right), 3, skip_self)
 
 
+@pytest.mark.parametrize("piece_bytes", [1 << 20, 400])
+def test_equal_distances_go_to_the_smaller_id(spark, piece_bytes):
+    same = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    found = knn_join(same.where("vec_id >= 390"), same, "v", 5, piece_bytes=piece_bytes).collect()
+    assert {(r["left_id"], r["neighbour_id"], r["rank"]) for r in found} == {(i, j, j + 1) for i in range(390, 400) for j in range(5)}
+
+
+@pytest.mark.parametrize("piece_bytes", [1 << 20, 400])
+def test_vectors_far_from_the_origin(spark, piece_bytes):
+    data = np.random.default_rng(3).normal(0, 1, (60, 4)) + 1e6
+    data[0] += 1e5  # one far point does not blur the others
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, v array<double>")
+    got = {}
+    for r in knn_join(df, df, "v", 3, exclude_self=True, piece_bytes=piece_bytes).orderBy("left_id", "rank").collect():
+        got.setdefault(r["left_id"], []).append(r["neighbour_id"])
+    assert got == brute(data, range(60), range(60), 3, True)
+
+
+def test_rows_without_a_vector_have_no_neighbours(spark):
+    df = spark.createDataFrame([(1, [0.0]), (2, None), (3, [2.0])], "vec_id long, v array<double>")
+    got = {(r["left_id"], r["neighbour_id"]) for r in knn_join(df, df, "v", 2, exclude_self=True).collect()}
+    assert got == {(1, 3), (3, 1)} and knn_join(df, df.limit(0), "v", 2).count() == 0
+
+
 def test_codes_add_to_the_distance(spark):
     df = spark.createDataFrame([(1, [0.0], [1]), (2, [0.0], [2]), (3, [1.0], [1])], "vec_id long, v array<double>, c array<bigint>")
     got = {(r["left_id"], r["neighbour_id"]): r["distance"] for r in knn_join(df, df, "v", 2, exclude_self=True, codes="c", penalty=4.0).collect()}
