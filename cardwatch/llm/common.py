@@ -93,6 +93,20 @@ def has_id_in(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFr
     return docs.where(F.col(id_col).isNotNull()).where(among(place))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has one row for each key and ``size``, its number of rows.
+
+    Groups above the mean size of a shuffle partition meet their rows through
+    a broadcast: there are fewer of them than partitions, whatever the input.
+    All other rows are shuffled by ``key``. Null keys match nothing.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = groups.where(F.col(size) * parts > total)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(groups.hint("merge"), key)
+    return rows.join(F.broadcast(large), key).unionByName(rest)
+
+
 # --- bytes of Arrow text -------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import SPACES, Workspace, text_or_empty
+from cardwatch.llm.common import SPACES, Workspace, join_groups, text_or_empty
 
 INDEX_COLUMNS = "digest binary, keep_id long"
 
@@ -83,8 +83,8 @@ def exact_duplicates(
     index.add(found)
     sizes = found.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     groups = work.write(sizes.join(index.read().hint("merge"), "digest"), "groups")
-    # Both sides are shuffled here, so that adaptive execution can split a digest with very many copies.
-    return found.join(groups.hint("merge"), "digest").select(
+    # A digest with very many copies is not shuffled.
+    return join_groups(found, groups, "digest", "group_size").select(
         "doc_id",
         "keep_id",
         "group_size",
