@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import Workspace
+from cardwatch.llm.common import Workspace, join_groups
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,18 +13,19 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """Every larger neighbour of a node is hung on the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_groups(both, work.write(least, name), "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """Every node and its smaller neighbours are hung on the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least.hint("merge"), "u")
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = work.write(least, name)
+    moved = join_groups(down, least, "u", "n")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -32,14 +33,15 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(id, root) for every id in ``edges`` (u, v): ``root`` is the smallest id reachable; roots are listed too.
 
     Each round is written to the shared folder. The smallest neighbour is
-    found by an aggregate and joined back, so a node with very many links is
-    split like any other hot key.
+    found by an aggregate and joined back; a node with very many links meets it
+    by a broadcast, so its links stay where they are.
     """
     edges = work.write(edges.where("u <> v").distinct(), f"{name}-0")
     before, k = _state(edges), 0
     while before[0]:
         k += 1
-        edges = work.write(_small_star(_large_star(edges)).where("u <> v").distinct(), f"{name}-{k}")
+        hung = work.write(_large_star(edges, work, f"{name}-{k}-larger"), f"{name}-{k}-hung")
+        edges = work.write(_small_star(hung, work, f"{name}-{k}-smaller").where("u <> v").distinct(), f"{name}-{k}")
         after = _state(edges)
         if after == before:
             break

@@ -18,7 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import RunningHash, Workspace, arrow_limits, blocks, has_id_in, mix, text_or_empty, utf8_view
+from cardwatch.llm.common import (
+    RunningHash,
+    Workspace,
+    arrow_limits,
+    blocks,
+    has_id_in,
+    join_groups,
+    mix,
+    text_or_empty,
+    utf8_view,
+)
 from cardwatch.llm.components import components
 
 WORDS = 5
@@ -228,11 +238,11 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, family_block: in
     sketched = work.write(sketches(docs), "sketches")
     full = sketched.where("digest is not null and doc_id is not null")
     classes = work.write(
-        full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes"
+        full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "classes"
     )
     banded = classes.select("id", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    near = banded.join(buckets.hint("merge"), "bucket").select(F.col("id").alias("u"), F.col("hub").alias("v"))
+    buckets = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = join_groups(banded, work.write(buckets, "buckets"), "bucket", "n").select(F.col("id").alias("u"), F.col("hub").alias("v"))
     family_of = work.write(components(near, work, "families"), "family-of")
 
     # Members are numbered within salted parts of their family, then cut into blocks.
@@ -265,12 +275,10 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, family_block: in
     links = work.write(_verified(arranged, percent), "links")
     root_of = components(links, work, "components")
 
-    membership = full.select("doc_id", "digest").join(
-        classes.select("digest", "id").hint("merge"), "digest"
-    ).select("doc_id", "id").distinct()
-    joined = membership.join(root_of.hint("merge"), "id", "left").select(
-        F.col("doc_id").alias("__id"), F.coalesce("root", "id").alias("root")
-    )
+    resolved = classes.select("digest", "id", "n").join(root_of.hint("merge"), "id", "left")
+    resolved = work.write(resolved.select("digest", F.coalesce("root", "id").alias("root"), "n"), "resolved")
+    joined = join_groups(full.select("doc_id", "digest"), resolved, "digest", "n")
+    joined = joined.select(F.col("doc_id").alias("__id"), "root").distinct()
     result = sketched.join(joined.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
     component = F.coalesce("root", "doc_id")
     return result.select(
