@@ -137,11 +137,18 @@ def allotments(filled: list[tuple[int, list[int]]]) -> list[dict]:
     return [{"length": n, "lots": lots} for n, lots in sorted(by_length.items())]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, order: DataFrame | None = None
+) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone; rows that repeat are packed as
     often as they occur; an empty table gives no rows; null ids stay.
+
+    ``order`` has the columns doc_id, slot and place, as ``mixing.interleave``
+    returns them. Pieces of equal length are then dealt in that order, and
+    sequences are numbered by the earliest place of their pieces. Rows that
+    share an id share its first place; a document without a place comes last.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
@@ -151,27 +158,55 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     schema = "array<struct<length:bigint,lots:array<struct<first:bigint,sequence:bigint,copies:bigint,offset:bigint>>>>"
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(lots), schema)))
 
-    # Many pieces may have one length (a third of all, or all that are full): rank them in salted groups.
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    carry = groups.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carried"))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(carry, ["length", "salt"])
+    # Many pieces may have one length (a third of all, or all that are full): rank them in groups,
+    # by a salt or, in a given order, by the range of places they fall into.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["doc_id", "piece", "start", "ids_crc32"]
+    if order is None:
+        grouped = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    else:
+        keys = ["slot", "place", *keys]
+        ranged = _with_place(cut, order).repartitionByRange(parts, *keys)
+        grouped = work.write(ranged.withColumn("part", F.spark_partition_id()), "ranged")
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = grouped.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    carry = groups.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carried"))
+    within = Window.partitionBy("length", "part").orderBy(*keys)
+    ranked = grouped.withColumn("rank", F.row_number().over(within) - 1).join(carry, ["length", "part"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("carried"))
     dealt = ranked.join(F.broadcast(plan), "length")  # at most ``capacity`` rows
     dealt = dealt.withColumn("lot", F.expr("element_at(filter(lots, x -> x.first <= rank), -1)"))
     inside = F.col("rank") - F.col("lot.first")
-    return dealt.select(
-        "doc_id",
-        "piece",
-        "start",
-        "length",
-        "ids_crc32",
+    dealt = dealt.select(
+        *grouped.columns,
         (F.col("lot.sequence") + F.call_function("div", inside, F.col("lot.copies"))).alias("sequence_id"),
         (F.col("lot.offset") + inside % F.col("lot.copies") * F.col("length")).alias("offset"),
     )
+    if order is not None:
+        dealt = _numbered_by_place(work.write(dealt, "dealt"), keys)
+    return dealt.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def _with_place(cut: DataFrame, order: DataFrame) -> DataFrame:
+    """The pieces with the first (slot, place) of their document; without one they come last."""
+    first = order.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(F.struct("slot", "place")).alias("__at"))
+    placed = cut.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    last = F.lit((1 << 63) - 1)
+    return placed.select(*cut.columns, *[F.coalesce(F.col(f"__at.{c}").cast("long"), last).alias(c) for c in ("slot", "place")])
+
+
+def _numbered_by_place(dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """Sequences numbered from 0 in the order of their first piece; ``part`` is the range of places of a piece."""
+    first = dealt.groupBy("sequence_id").agg(F.min(F.struct("part", *keys)).alias("at"))
+    first = first.select("sequence_id", "at", F.col("at.part").alias("part"))
+    # A part has no more sequences than pieces; the sums over parts are one row a shuffle partition.
+    sizes = first.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carried"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("at", "sequence_id")) - 1
+    numbered = first.withColumn("number", number).join(carry, "part")
+    numbered = numbered.select("sequence_id", (F.col("number") + F.col("carried")).alias("number"))
+    return dealt.join(numbered, "sequence_id").withColumn("sequence_id", F.col("number"))
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -9,6 +9,8 @@ from cardwatch.llm import exact_dedup, language, mixing, near_dedup, packing
 from cardwatch.llm.common import Workspace
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Target weights of the sources for mixing and packing; None takes the square roots of their bytes.
+WEIGHTS: dict[str, int] | None = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +30,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix of their sources."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, WEIGHTS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    """The pieces of all documents with their sequences and offsets, dealt and numbered in the order of the mix.
+
+    Files keep no order, so the places are worked out again from the documents and the weights of the mixing stage.
+    """
+    order = mixing.interleave(docs, WEIGHTS)
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), order=order)
 
 
 STAGES = [
