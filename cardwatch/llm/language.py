@@ -146,6 +146,11 @@ def identify(docs: DataFrame, model: LanguageModel, ambiguous_below: float = AMB
     gets less than ``ambiguous_below`` of the belief. Whole texts count; equal
     texts get equal answers; an empty table gives no rows; null ids stay.
     """
+    return _decisions(docs, model, ambiguous_below).drop("has_letter")
+
+
+def _decisions(docs: DataFrame, model: LanguageModel, ambiguous_below: float = AMBIGUOUS_BELOW) -> DataFrame:
+    """The columns of ``identify`` and has_letter, which does not depend on the model."""
     spark = docs.sparkSession
     arrow_limits(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -162,7 +167,8 @@ def identify(docs: DataFrame, model: LanguageModel, ambiguous_below: float = AMB
                     for a in range(i, j, _DOCS_AT_ONCE):
                         z = min(a + _DOCS_AT_ONCE, j)
                         first[a:z], second[a:z], score[a:z] = m.decode(_features(data, offsets[a : z + 1]))
-            known = np.array([bool(m.languages) and bool(t) and any(map(str.isalpha, t)) for t in column.to_pylist()], bool)
+            letters = np.array([bool(t) and any(map(str.isalpha, t)) for t in column.to_pylist()], bool)
+            known = letters & bool(m.languages)
             names = np.array([*m.languages, UNDETERMINED], object)
             none = len(m.languages)
             yield pa.RecordBatch.from_arrays(
@@ -173,12 +179,13 @@ def identify(docs: DataFrame, model: LanguageModel, ambiguous_below: float = AMB
                     pa.array(np.where(known, score, 0.0)),
                     pa.array(~known | (score < ambiguous_below)),
                     pa.array(names[np.where(known, second, none)].tolist(), pa.string()),
+                    pa.array(letters),
                 ],
-                names=["doc_id", "held_out", "lang_pred", "score", "ambiguous", "second"],
+                names=["doc_id", "held_out", "lang_pred", "score", "ambiguous", "second", "has_letter"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, OUT)
+    return rows.mapInArrow(run, f"{OUT}, has_letter boolean")
 
 
 def identify_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
@@ -187,11 +194,13 @@ def identify_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE)
 
 
 def with_language(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """The documents whose language can be told, with all their columns; those without a letter go.
+    """The documents whose text has a letter, with all their columns.
 
-    Predictions run over (id, text); the ids that go are few and are removed by
-    an anti-join. Rows that share an id share a text.
+    A language is decided for all of them if any could be learnt, but neither
+    it nor a missing model removes a document. Predictions run over (id, text);
+    the ids that go are few and are removed by an anti-join. Rows that share an
+    id share a text; null ids stay.
     """
-    gone = identify_languages(docs, per_language).where(F.col("lang_pred") == UNDETERMINED)
+    gone = _decisions(docs, fit(*training_sample(docs, per_language))).where(~F.col("has_letter"))
     gone = gone.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
