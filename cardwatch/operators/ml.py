@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from datetime import datetime, timezone
 
 from statistics import median
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,7 @@ from cardwatch.operators.profile import long_format
 from cardwatch.plans.prefix import exact_quantiles, null_safe_join, prefix_sum
 from cardwatch.plans.slices import ROWS_PER_SLICE
 from cardwatch.schemas import LABEL, TS
+from cardwatch.session import ensure_checkpoint_dir
 
 MODEL_NAME = "gbt"
 
@@ -279,6 +283,69 @@ def smote_nc(
 # --- models ---------------------------------------------------------------------------------------
 
 
+class TextCodes(Estimator, HasInputCols, HasOutputCols):
+    """Texts as plain numbers: their codes in the training rows, of any number of values.
+
+    A missing text takes the code of the most frequent one; unknown texts, and
+    missing ones of a column without values, become -1.
+    """
+
+    def __init__(self, inputCols: list[str], outputCols: list[str]):
+        super().__init__()
+        self._set(inputCols=inputCols, outputCols=outputCols)
+
+    def _fit(self, df: DataFrame) -> TextCodesModel:
+        cols, spark = self.getInputCols(), df.sparkSession
+        codes = ordinal_codes(df, cols).select("feature", "value", F.col("code").cast("double").alias("code"))
+        path = f"{ensure_checkpoint_dir(spark)}/codes-{uuid.uuid4().hex[:12]}"
+        codes.write.parquet(path)
+        codes = spark.read.schema(codes.schema).parquet(path)
+        most = spark.createDataFrame(list(modes(df, cols).items()), "feature string, value string")
+        missing = codes.join(most, ["feature", "value"]).select("feature", F.lit(None).cast("string").alias("value"), "code")
+        return self._copyValues(TextCodesModel(codes.unionByName(missing)))
+
+
+class TextCodesModel(Model, HasInputCols, HasOutputCols, MLWritable, MLReadable):
+    """(feature, value, code) of the training rows; a NULL value stands for missing texts."""
+
+    def __init__(self, codes: DataFrame):
+        super().__init__()
+        self.codes = codes
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        for c, name in zip(self.getInputCols(), self.getOutputCols()):
+            mine = self.codes.where(F.col("feature") == c).select(F.col("value").alias("__value"), F.col("code").alias("__code"))
+            joined = df.join(mine, F.col(c).cast("string").eqNullSafe(F.col("__value")), "left")
+            df = joined.withColumn(name, F.coalesce("__code", F.lit(-1.0))).drop("__value", "__code")
+        return df
+
+    def write(self) -> MLWriter:
+        return _TextCodesWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _TextCodesReader()
+
+
+class _TextCodesWriter(MLWriter):
+    def __init__(self, model: TextCodesModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.codes.write.parquet(f"{path}/codes")
+
+
+class _TextCodesReader(MLReader):
+    def load(self, path: str) -> TextCodesModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = TextCodesModel(self.sparkSession.read.parquet(f"{path}/codes"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
 def build_pipeline(df: DataFrame, classifier, label: str = LABEL, exclude: tuple[str, ...] = ()) -> Pipeline:
     """Median imputation, ordinal codes for texts, then the classifier."""
     numeric, categorical = split_columns(df, label, exclude)
@@ -289,9 +356,7 @@ def build_pipeline(df: DataFrame, classifier, label: str = LABEL, exclude: tuple
         inputs += filled
     if categorical:
         coded = [f"{c}__cat" for c in categorical]
-        stages.append(
-            StringIndexer(inputCols=categorical, outputCols=coded, stringOrderType="alphabetAsc", handleInvalid="keep")
-        )
+        stages.append(TextCodes(inputCols=categorical, outputCols=coded))
         inputs += coded
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     return Pipeline(stages=[*stages, classifier])
