@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cardwatch.llm import exact_dedup, fingerprint, language, mixing, near_dedup, packing, periodic_runs, prefix_trie, quality, sharding, suffix_dedup, tokens
+from cardwatch.llm import exact_dedup, fingerprint, language, mixing, near_dedup, packing, periodic_runs, prefix_trie, quality, sharding, suffix_dedup, tokens, toxicity
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,6 +57,10 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeats_removed(_table(spark, folder, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.run_report(_table(spark, folder, "documents"), tails=True)
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_toxicity": op11_toxicity,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_conversation_trie": op13_conversation_trie,
 }
