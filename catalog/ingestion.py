@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cardwatch.bindings import VERSION_ORDER
 from cardwatch.operators import ingest, store
 from cardwatch.operators.features import coerce_required
+from cardwatch.operators.prediction_store import PredictionStore
 from cardwatch.operators.versions import latest_predictions
 from cardwatch.schemas import API_FIELDS, PREDICTION_BATCHES, PREDICTIONS
 from cardwatch.session import ensure_checkpoint_dir
@@ -149,6 +150,32 @@ add(
  TIMESTAMP '2024-02-01' AS created_at FROM {TX} t""",
 )
 
+
+
+def grown_store(t: Tables):
+    """A store after two batches that share transactions, the second scored later and lower, and a repeat of the first."""
+    grown = PredictionStore(t.spark, scratch(t), buckets=8)
+    again = t.scored.where("amt >= 100").withColumn("risk_score", F.col("amt") / 1000)
+    for rows, day in ((t.scored, "2024-02-01"), (again, "2024-02-02"), (t.scored, "2024-02-03")):
+        grown.persist(rows, "rule", 0.3, f"{day} 00:00:00")
+        grown.merge()
+    return grown
+
+
+STORED = ("trans_num", "risk_score", "prediction", "amt", "created_at")
+RULE = f"""SELECT trans_num, (amt / {{}})::DECIMAL(12,6)::DOUBLE AS risk_score, amt >= 150 AS prediction, amt,
+ TIMESTAMP '2024-02-0{{}}' AS created_at FROM {TX} t WHERE {{}}"""
+add(
+    "s_14_grown",
+    lambda t: as_double(grown_store(t).versions(), "risk_score").select(*STORED),
+    f"{RULE.format(500, 1, 'true')} UNION ALL {RULE.format(1000, 2, 'amt >= 100')}",
+)
+add(
+    "q_1_newest",
+    lambda t: as_double(grown_store(t).newest(), "risk_score").select(*STORED),
+    f"{RULE.format(500, 1, 'amt < 100')} UNION ALL {RULE.format(1000, 2, 'amt >= 100')}",
+)
+
 BATCH = "floor(CAST(trans_num AS BIGINT) / 500)::BIGINT"
 HASHED = ["amt", "category", "cc_num", "merchant", "trans_num"]
 ROW_HASH = "sha256(concat_ws('|', " + ", ".join(f"coalesce('=' || {c}::VARCHAR, '-')" for c in HASHED) + "))"
