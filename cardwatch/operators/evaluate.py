@@ -149,6 +149,23 @@ def _areas(steps: DataFrame, names=("roc_auc", "pr_auc_trapezoid", "average_prec
     return steps.agg(*[columns[n].alias(n) for n in names])
 
 
+def grouped_average_precision(
+    df: DataFrame, by: list[str], label: str = LABEL, score: str = "risk_score", rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Exact average precision of each group; NULL where a class is missing.
+
+    Equal scores are merged first, so a group is as long as its number of distinct scores.
+    """
+    y = F.col(label).cast("int")
+    steps = df.groupBy(*by, (-F.col(score).cast("double")).alias("__down")).agg(
+        F.sum(y).cast("long").alias("hits"), F.sum(1 - y).cast("long").alias("misses")
+    )
+    placed = prefix_sum(steps, ["__down"], ["hits", "misses"], by, rows_per_slice)
+    positives, negatives = F.sum("hits"), F.sum("misses")
+    gained = F.sum(F.col("hits") * F.col("cum_hits") / (F.col("cum_hits") + F.col("cum_misses")))
+    return placed.groupBy(*by).agg(F.when((positives > 0) & (negatives > 0), gained / positives).alias("average_precision"))
+
+
 def roc_auc(df: DataFrame, **options) -> DataFrame:
     return ranking_metrics(df, ("roc_auc",), **options)
 

@@ -5,17 +5,17 @@ from __future__ import annotations
 import random
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import datetime, timezone
+from statistics import mean, median, pstdev
 
-from statistics import median
-
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
-from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -346,8 +346,8 @@ class _TextCodesReader(MLReader):
         return model
 
 
-def build_pipeline(df: DataFrame, classifier, label: str = LABEL, exclude: tuple[str, ...] = ()) -> Pipeline:
-    """Median imputation, ordinal codes for texts, then the classifier."""
+def _preparation(df: DataFrame, label: str = LABEL, exclude: tuple[str, ...] = ()) -> Pipeline:
+    """Median imputation, codes for texts, one vector."""
     numeric, categorical = split_columns(df, label, exclude)
     stages, inputs = [], []
     if numeric:
@@ -359,7 +359,12 @@ def build_pipeline(df: DataFrame, classifier, label: str = LABEL, exclude: tuple
         stages.append(TextCodes(inputCols=categorical, outputCols=coded))
         inputs += coded
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
-    return Pipeline(stages=[*stages, classifier])
+    return Pipeline(stages=stages)
+
+
+def build_pipeline(df: DataFrame, classifier, label: str = LABEL, exclude: tuple[str, ...] = ()) -> Pipeline:
+    """Median imputation, ordinal codes for texts, then the classifier."""
+    return Pipeline(stages=[*_preparation(df, label, exclude).getStages(), classifier])
 
 
 def _numbers_as_double(df: DataFrame, label: str) -> DataFrame:
@@ -405,63 +410,171 @@ def score_ranked(model: PipelineModel, df: DataFrame, threshold: float = 0.5, by
     return rank_scores(score(model, df, threshold), by=by)
 
 
-def cv_benchmark(df: DataFrame, classifiers: dict, fold_col: str = "fold", label: str = LABEL, threshold: float = 0.5, exclude=("trans_num",)) -> DataFrame:
-    """Mean and deviation of the metrics over the folds, best PR-AUC first."""
-    from statistics import mean, pstdev
+# --- validation and search --------------------------------------------------------------------------
+
 
+@dataclass(frozen=True)
+class Fold:
+    """One fold as written vectors: label, weight, features; the test rows keep their key."""
+
+    name: object
+    train: DataFrame
+    test: DataFrame
+
+
+def prepared_folds(
+    df: DataFrame, fold_col: str = "fold", label: str = LABEL, exclude: tuple[str, ...] = ("trans_num",), key: str = "trans_num"
+) -> list[Fold]:
+    """Each fold's preparation fitted once, on its training rows, and its vectors written to the shared folder.
+
+    All classifiers and all draws of a search read these vectors. The class
+    weights are those of the training rows.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/folds-{uuid.uuid4().hex[:12]}"
+    data = _numbers_as_double(df, label)
+    names = sorted(r[0] for r in data.select(fold_col).distinct().collect())  # a handful
+
+    def prepare(name) -> Fold:
+        train = data.where(F.col(fold_col) != name)
+        test = data.where(F.col(fold_col) == name)
+        ready = _preparation(train, label, (*exclude, fold_col)).fit(train)
+        parts = []
+        for part, rows in (("train", balanced_weight(ready.transform(train), label)), ("test", ready.transform(test))):
+            columns = [label, "features", *(["weight"] if part == "train" else [key])]
+            path = f"{folder}/fold={name}/{part}"
+            rows.select(*columns).write.parquet(path)
+            parts.append(spark.read.parquet(path))
+        return Fold(name, *parts)
+
+    return _side_by_side(spark, prepare, [(n,) for n in names], len(names))
+
+
+def _side_by_side(spark: SparkSession, run, arguments: list[tuple], parallelism: int) -> list:
+    """The results of several Spark jobs started from a pool of threads, in the order of their arguments."""
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(run), *a) for a in arguments]
+        return [f.result() for f in started]
+
+
+def fold_scores(
+    folds: list[Fold], classifiers: dict[str, Estimator], label: str = LABEL, key: str = "trans_num", parallelism: int = 8
+) -> tuple[DataFrame, list[tuple]]:
+    """Every classifier fitted on every fold: the written test scores, and (name, fold, fit and score seconds).
+
+    Scores have the columns classifier, fold, key, label and risk_score. The
+    fits share a pool of threads.
+    """
+    spark = folds[0].train.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/fold-scores-{uuid.uuid4().hex[:12]}"
+
+    def one(name: str, fold: Fold) -> tuple:
+        t0 = time.perf_counter()
+        model = classifiers[name].fit(fold.train)
+        t1 = time.perf_counter()
+        scored = model.transform(fold.test).select(
+            F.col(key), F.col(label), vector_to_array("probability")[1].alias("risk_score")
+        )
+        scored.write.parquet(f"{folder}/classifier={name}/fold={fold.name}")
+        return name, fold.name, t1 - t0, time.perf_counter() - t1
+
+    times = _side_by_side(spark, one, [(name, fold) for name in classifiers for fold in folds], parallelism)
+    return spark.read.option("basePath", folder).parquet(folder), times
+
+
+def cv_benchmark(
+    df: DataFrame, classifiers: dict, fold_col: str = "fold", label: str = LABEL, threshold: float = 0.5, exclude=("trans_num",),
+    parallelism: int = 8,
+) -> DataFrame:
+    """Mean and deviation of the metrics over the folds, best PR-AUC first."""
     from cardwatch.operators.evaluate import metrics_row
 
-    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
     wanted = {"pr_auc": "average_precision", "roc_auc": "roc_auc", "f1": "f1", "recall": "recall", "precision": "precision", "balanced_acc": "balanced_accuracy", "mcc": "mcc"}
+    started = time.perf_counter()
+    folds = prepared_folds(df, fold_col, label, tuple(exclude))
+    scores, times = fold_scores(folds, classifiers, label, parallelism=parallelism)
+    scores = scores.withColumn("prediction", F.col("risk_score") >= F.lit(float(threshold)))
+
+    def measured(name: str, fold) -> dict:
+        return metrics_row(scores.where((F.col("classifier") == name) & (F.col("fold") == fold))).first().asDict()
+
+    results = _side_by_side(df.sparkSession, measured, [(name, fold) for name, fold, *_ in times], parallelism)
     rows = []
-    for name, classifier in classifiers.items():
-        results, fit_times, score_times = [], [], []
-        started = time.perf_counter()
-        for fold in folds:
-            train, test = df.where(F.col(fold_col) != fold).drop(fold_col), df.where(F.col(fold_col) == fold).drop(fold_col)
-            t0 = time.perf_counter()
-            model = _fit(train, classifier.copy(), label, tuple(exclude))
-            t1 = time.perf_counter()
-            results.append(metrics_row(score(model, test, threshold)).first())
-            fit_times.append(t1 - t0)
-            score_times.append(time.perf_counter() - t1)
+    for name in classifiers:
+        mine = [(m, fit, scoring) for m, (n, _, fit, scoring) in zip(results, times) if n == name]
         row = [name]
         for source in wanted.values():
-            values = [r[source] for r in results if r[source] is not None]
+            values = [m[source] for m, *_ in mine if m[source] is not None]
             row += [mean(values), pstdev(values)] if values else [None, None]
-        rows.append((*row, time.perf_counter() - started, mean(fit_times), mean(score_times)))
+        rows.append((*row, time.perf_counter() - started, mean(f for _, f, _ in mine), mean(t for *_, t in mine)))
     columns = ["model string", *[f"{m}_{s} double" for m in wanted for s in ("mean", "std")]]
     columns += ["cv_wall_time_sec double", "cv_fit_time_mean_sec double", "cv_score_time_mean_sec double"]
     out = df.sparkSession.createDataFrame(rows, ", ".join(columns))
     return out.orderBy(F.col("pr_auc_mean").desc_nulls_last(), "model")
 
 
+def draws_from(space: dict[str, list], n_iter: int, seed: int) -> list[dict]:
+    """Seeded draws; the same ones in every session."""
+    rng = random.Random(seed)
+    return [{p: rng.choice(values) for p, values in space.items()} for _ in range(n_iter)]
+
+
+@dataclass(frozen=True)
+class Search:
+    """What a search found: every draw's exact average precision over the folds, and the scores behind it."""
+
+    draws: dict[str, dict]  # name of the draw -> its parameters; names are kind-number
+    scores: DataFrame
+    average_precision: DataFrame  # classifier, fold, average_precision
+    seconds: float
+
+    def ranking(self) -> DataFrame:
+        """(draw, kind, mean and deviation of the average precision, rank within its kind): the best first."""
+        from pyspark.sql import Window
+
+        means = self.average_precision.groupBy(F.col("classifier").alias("draw")).agg(
+            F.avg("average_precision").alias("pr_auc_mean"), F.stddev_pop("average_precision").alias("pr_auc_std")
+        )
+        kind = F.regexp_extract("draw", "^(.*)-[0-9]+$", 1)
+        number = F.regexp_extract("draw", "([0-9]+)$", 1).cast("int")
+        best = Window.partitionBy("kind").orderBy(F.desc_nulls_last("pr_auc_mean"), "number")  # a handful of draws
+        return means.withColumns({"kind": kind, "number": number}).withColumn("rank", F.row_number().over(best))
+
+
+def search(
+    df: DataFrame, kinds: tuple[str, ...] = ("gbt", "rf"), n_iter: int = 4, seed: int = 42, spaces: dict | None = None,
+    fold_col: str = "fold", label: str = LABEL, exclude=("trans_num",), parallelism: int = 8,
+) -> Search:
+    """Random draws of several kinds of models, validated side by side on folds that are prepared once."""
+    from cardwatch.operators.evaluate import grouped_average_precision
+
+    started = time.perf_counter()
+    makers = {"gbt": gbt, "rf": rf}
+    spaces = spaces or SEARCH_SPACES
+    draws = {f"{kind}-{i}": d for kind in kinds for i, d in enumerate(draws_from(spaces[kind], n_iter, seed))}
+    classifiers = {name: makers[name.rsplit("-", 1)[0]](**d, labelCol=label) for name, d in draws.items()}
+    folds = prepared_folds(df, fold_col, label, tuple(exclude))
+    scores, _ = fold_scores(folds, classifiers, label, parallelism=parallelism)
+    precision = grouped_average_precision(scores, ["classifier", "fold"], label)
+    return Search(draws, scores, precision, time.perf_counter() - started)
+
+
 def random_search(
     df: DataFrame, kind: str = "gbt", n_iter: int = 4, folds: int = 2, seed: int = 42, space: dict | None = None, fold_col: str = "fold",
-    label: str = LABEL, exclude=("trans_num",), parallelism: int = 2,
+    label: str = LABEL, exclude=("trans_num",), parallelism: int = 8,
 ) -> dict:
-    """Seeded draws from the search space, cross-validated on area under PR."""
-    space = space or SEARCH_SPACES[kind]
-    classifier = {"gbt": gbt, "rf": rf}[kind]()
-    rng = random.Random(seed)
-    draws = [{p: rng.choice(values) for p, values in space.items()} for _ in range(n_iter)]
-    maps = [{classifier.getParam(p): v for p, v in d.items()} for d in draws]
-    data = balanced_weight(_numbers_as_double(df, label), label)
-    if fold_col not in data.columns:
-        data = stratified_folds(data, label, folds, seed)
-    pipeline = build_pipeline(data, classifier, label, (*exclude, fold_col, "weight"))
-    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR")
-    started = time.perf_counter()
-    fitted = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol=fold_col, parallelism=parallelism
-    ).fit(data)
-    best = max(range(len(draws)), key=lambda i: fitted.avgMetrics[i])
+    """The best of some seeded draws by exact average precision, fitted again on all rows."""
+    data = df if fold_col in df.columns else stratified_folds(df, label, folds, seed)
+    found = search(data, (kind,), n_iter, seed, {kind: space or SEARCH_SPACES[kind]}, fold_col, label, exclude, parallelism)
+    best = found.ranking().where("rank = 1").first()
+    params = found.draws[best["draw"]]
+    fit = {"gbt": fit_gbt, "rf": fit_rf}[kind]
     return {
         "model": kind,
-        "best_model": fitted.bestModel,
-        "best_params": draws[best],
-        "best_cv_pr_auc": float(fitted.avgMetrics[best]),
-        "tuning_time_sec": time.perf_counter() - started,
+        "best_model": fit(data.drop(fold_col), params, label, tuple(exclude)),
+        "best_params": params,
+        "best_cv_pr_auc": best["pr_auc_mean"],
+        "tuning_time_sec": found.seconds,
         "n_iter": n_iter,
     }
 

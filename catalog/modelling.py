@@ -122,15 +122,15 @@ def holdout_scores(t: Tables, fit):
 
 add("m_14", lambda t: holdout_scores(t, ml.fit_gbt))
 add("m_15", lambda t: holdout_scores(t, ml.fit_rf))
-add("m_16", lambda t: ml.cv_benchmark(ml.stratified_folds(model_table(t), k=4).persist(), {"gbt": ml.gbt(), "rf": ml.rf()}))
+add("m_16", lambda t: ml.cv_benchmark(ml.stratified_folds(model_table(t), k=4), {"gbt": ml.gbt(), "rf": ml.rf()}))
 
 
 def tuned(t: Tables):
-    """The best of four draws from the whole search space of each model, on two folds."""
-    data = ml.stratified_folds(model_table(t), k=2).persist()
-    found = [ml.random_search(data, kind, n_iter=4, folds=2) for kind in ml.SEARCH_SPACES]
-    rows = [(x["model"], x["n_iter"], x["best_cv_pr_auc"], str(x["best_params"])) for x in found]
-    return t.spark.createDataFrame(rows, "model string, n_iter int, best_cv_pr_auc double, best_params string")
+    """Four draws from the whole search space of each model on two folds, ranked by average precision."""
+    data = ml.stratified_folds(model_table(t), k=2)
+    found = ml.search(data, n_iter=4)
+    params = t.spark.createDataFrame([(name, str(d)) for name, d in found.draws.items()], "draw string, params string")
+    return found.ranking().join(params, "draw").select("draw", "kind", "rank", "pr_auc_mean", "pr_auc_std", "params")
 
 
 add("m_17", tuned)
