@@ -199,18 +199,18 @@ def _card_history(rows: DataFrame, plain: DataFrame, own: list[str], rows_per_sl
     keys = [*own, "cc_num"]
     plan = plan_slices(plain, CARD_ORDER, keys, rows_per_slice)
     if not plan.split:
-        return _whole_histories(rows, keys, plan.largest, exact)
+        return _whole_histories(rows, keys, exact)
     hot = plan.hot_keys(rows.sparkSession)
     hot = F.broadcast(hot.toDF(*[f"__k_{c}" for c in keys]))
     match = F.lit(True)
     for c in keys:
         match = match & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    usual = _whole_histories(rows.join(hot, match, "left_anti"), keys, plan.largest, exact)
+    usual = _whole_histories(rows.join(hot, match, "left_anti"), keys, exact)
     cut_rows, cut_plain = (with_slice(d.join(hot, match, "left_semi"), plan, "__cs") for d in (rows, plain))
     return usual.unionByName(_cut_histories(cut_rows, cut_plain, keys, rows_per_slice))
 
 
-def _whole_histories(rows: DataFrame, keys: list[str], longest: int, exact: bool) -> DataFrame:
+def _whole_histories(rows: DataFrame, keys: list[str], exact: bool) -> DataFrame:
     """Histories that fit one task: plain windows over a single shuffle by card.
 
     The rows are laid out by card once, which also serves every finer key.
@@ -243,7 +243,7 @@ def _whole_histories(rows: DataFrame, keys: list[str], longest: int, exact: bool
     )
     if not exact:
         return rows.withColumn("__median", F.percentile_approx("amt", 0.5).over(w))
-    return median_of_whole_histories(rows, keys, CARD_ORDER, "amt", "__median", longest, clustered=True)
+    return median_of_whole_histories(rows, keys, CARD_ORDER, "amt", "__median", clustered=True)
 
 
 def _cut_histories(rows: DataFrame, plain: DataFrame, keys: list[str], rows_per_slice: int) -> DataFrame:

@@ -49,7 +49,7 @@ add(
 )
 add(
     "w_5",
-    lambda t: median_of_whole_histories(prepare(t.tx), ["cc_num"], CARD_ORDER, "amt", "prior_median", 10**6).select("trans_num", "prior_median"),
+    lambda t: median_of_whole_histories(prepare(t.tx), ["cc_num"], CARD_ORDER, "amt", "prior_median").select("trans_num", "prior_median"),
     f"SELECT trans_num, u_median AS prior_median FROM {HISTORY} h",
     "prior_median",
 )

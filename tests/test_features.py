@@ -7,7 +7,6 @@ from brute_features import brute
 from pyspark.sql import functions as F
 
 from cardwatch import bindings
-from cardwatch.operators import running_median
 from cardwatch.operators.features import FEATURES, build_features, build_features_incremental
 
 COLUMNS = "trans_num string, trans_date_trans_time timestamp, amt double, cc_num long, merchant string, city string, state string"
@@ -92,11 +91,9 @@ def test_matches_brute_force_on_events(spark, tiny):
 
 
 @pytest.mark.parametrize("limit", [10_000, 40])
-def test_hot_cards_and_merchants(spark, limit, monkeypatch):
+def test_hot_cards_and_merchants(spark, limit):
     """Cutting hot histories into slices must not change any value."""
     rows = skewed_rows()
-    if limit == 10_000:
-        monkeypatch.setattr(running_median, "SHORT_HISTORY", 20)
     assert_same(build_features(frame(spark, rows), rows_per_slice=limit), brute(rows))
 
 
@@ -171,21 +168,6 @@ def test_exchange_count(spark, tiny):
     assert "SinglePartition" not in plan
 
 
-def test_linked_list_median_matches_definition():
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    old = rng.integers(0, 30, 501).astype(float)
-    new = rng.integers(0, 40, 60).astype(float)
-    got = running_median.prior_medians(new, np.sort(old), 0, 0)
-    middle = np.sort(old)[250 - 34 : 250 + 36]
-    trimmed = running_median.prior_medians(new, middle, 250 - 34, 501 - (250 + 36))
-    for i in range(len(new)):
-        want = np.median(np.concatenate([old, new[:i]]))
-        assert got[i] == want and trimmed[i] == want
-    assert math.isnan(running_median.prior_medians(new, np.empty(0), 0, 0)[0])
-
-
 def test_incremental_build_with_missing_merchants(spark):
     schema = "trans_num string, cc_num long, trans_date_trans_time timestamp_ntz, amt double, category string, merchant string, city string, state string, is_fraud int"
     day = [datetime(2024, 1, k + 1) for k in range(3)]
