@@ -44,6 +44,20 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is not in the only column of ``gone``; null ids stay."""
+    name = spare(docs, "__gone")
+    return docs.join(gone.toDF(name), F.col(id_col).cast("long") == F.col(name), "left_anti")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -162,6 +176,23 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words (start, end), where ``data[start:end]`` one after the other are all bytes that count.
+
+    Each place of a word has a random factor of its own. Powers of one base
+    would do for no input at all: words made for it (a Thue-Morse word and its
+    complement) agree for every base modulo a power of two.
+    """
+    length = end - start
+    if not len(length):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(length) - length
+    place = np.arange(int(first[-1] + length[-1])) - np.repeat(first, length)
+    factors = mix(np.arange(1, int(length.max()) + 1, dtype=np.uint64) * _BASE)
+    sums = np.add.reduceat(BYTE_VALUES[data[place + np.repeat(start, length)]] * factors[place], first)
+    return mix(sums ^ mix(length.astype(np.uint64)))
+
+
 class RunningHash:
     """Hashes of any stretch of a byte block in constant time."""
 

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import SPACES, Workspace, join_groups, text_or_empty
+from cardwatch.llm.common import SPACES, Workspace, join_groups, text_or_empty, without_ids
 
 INDEX_COLUMNS = "digest binary, keep_id long"
 
@@ -94,12 +94,13 @@ def exact_duplicates(
 
 
 def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns.
+    """The documents that stay, with all their columns, whatever their names.
 
-    Ids are taken to be unique; the join is by id and null ids are kept.
+    Of equal texts (null is an empty text) the smallest id stays. Ids are taken
+    to be unique: rows that share id and text stay together. Null ids are kept;
+    texts may have any length; an empty table gives no rows.
     """
     dropped = exact_duplicates(docs, None, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull())
     # Written first: an aggregate or join above would keep a digest with very many copies from being split.
     dropped = Workspace(docs.sparkSession, "exact-dropped").write(dropped.select("doc_id"), "ids")
-    gone = dropped.select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return without_ids(docs, dropped, id_col)

@@ -17,13 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import arrow_limits, blocks, held_out, share_of_rows, utf8_view
+from cardwatch.llm.common import arrow_limits, blocks, held_out, share_of_rows, utf8_view, without_ids
 
 #: Documents learnt from, for each language: the bound of the training sample.
 SAMPLE_PER_LANGUAGE = 400
-#: Bytes learnt from in each of them, taken as evenly spaced pieces of the whole text.
-SAMPLE_BYTES = 8_192
-PIECE_BYTES = 512
 UNDETERMINED = "und"
 AMBIGUOUS_BELOW = 0.6
 _BIGRAM_BITS, _TRIGRAM_BITS = 12, 13
@@ -119,7 +116,7 @@ def fit(texts: list[bytes], langs: list[str], steps: int = 150, rate: float = 40
 
 
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
-    """About ``per_language`` learnable documents of each language, chosen by a hash: pieces from the whole text."""
+    """About ``per_language`` learnable documents of each language, chosen by a hash, with their whole texts."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}  # one row per language
     if not counts:
@@ -127,15 +124,9 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
     chosen = F.lit(False)
     for lang, n in sorted(counts.items()):
         chosen = chosen | ((F.col("lang") == lang) & share_of_rows(per_language, n, F.col("doc_id"), F.col("lang")))
-    n, step = F.octet_length("text"), SAMPLE_BYTES // PIECE_BYTES
-    spread = F.expr(
-        f"transform(sequence(0, {step - 1}), i -> substring(cast(text as binary),"
-        f" 1 + int(i * (octet_length(text) - {PIECE_BYTES}) div {step - 1}), {PIECE_BYTES}))"
-    )
-    piece = F.when(n <= SAMPLE_BYTES, F.array(F.col("text").cast("binary"))).otherwise(spread)
-    rows = learn.where(chosen).select("lang", piece.alias("pieces"), F.xxhash64("doc_id", "lang").alias("h")).collect()
-    rows.sort(key=lambda r: (r["lang"], r["h"]))  # the same sums in any order of tasks
-    return [b" ".join(map(bytes, r["pieces"])) for r in rows], [r["lang"] for r in rows]
+    rows = learn.where(chosen).select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "lang").alias("h")).collect()
+    rows.sort(key=lambda r: (r["lang"], r["h"], bytes(r["text"])))  # the same sums in any order of tasks
+    return [bytes(r["text"]) for r in rows], [r["lang"] for r in rows]
 
 
 def identify(docs: DataFrame, model: LanguageModel, ambiguous_below: float = AMBIGUOUS_BELOW) -> DataFrame:
@@ -194,13 +185,13 @@ def identify_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE)
 
 
 def with_language(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """The documents whose text has a letter, with all their columns.
+    """The documents whose text has a letter, with all their columns, whatever their names.
 
     A language is decided for all of them if any could be learnt, but neither
     it nor a missing model removes a document. Predictions run over (id, text);
-    the ids that go are few and are removed by an anti-join. Rows that share an
-    id share a text; null ids stay.
+    the ids that go are few and are removed by an anti-join. Null and empty
+    texts have no letter and go; rows that share an id share a text; null ids
+    stay; texts of any length are read whole; an empty table gives no rows.
     """
     gone = _decisions(docs, fit(*training_sample(docs, per_language))).where(~F.col("has_letter"))
-    gone = gone.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return without_ids(docs, gone.where(F.col("doc_id").isNotNull()).select("doc_id"))

@@ -19,7 +19,7 @@ from math import gcd, isqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import Workspace, n_bytes, text_or_empty
+from cardwatch.llm.common import Workspace, n_bytes, spare, text_or_empty
 
 BLOCK_BYTES = 64 << 10
 #: Largest default weight; the pattern of a phase is no longer than sources times this.
@@ -150,10 +150,14 @@ def interleave(
 
 
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All documents with their columns, sorted by their place in the mix; rows that share an id share a place."""
-    at = interleave(docs, weights, block_bytes).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("__at"))
-    at = at.withColumnRenamed("doc_id", "__id")
-    joined = docs.join(at, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    """All documents with their columns, whatever their names, sorted by their place in the mix.
+
+    Rows that share an id share a place; null sources, texts and ids, ties and
+    empty tables are handled as by ``interleave``.
+    """
+    at, key = spare(docs, "__at"), spare(docs, "__id")
+    first = interleave(docs, weights, block_bytes).groupBy(F.col("doc_id").alias(key)).agg(F.min(F.struct("slot", "place")).alias(at))
+    joined = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["__at.slot", "__at.place", "doc_id"]
-    return joined.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*[docs[c] for c in docs.columns])
+    order = [f"{at}.slot", f"{at}.place", "doc_id"]
+    return joined.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(at, key)

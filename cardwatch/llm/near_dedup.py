@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import RunningHash, Workspace, arrow_limits, blocks, has_id_in, mix, text_or_empty, utf8_view
+from cardwatch.llm.common import Workspace, arrow_limits, blocks, has_id_in, mix, text_or_empty, utf8_view, without_ids, word_hashes
 from cardwatch.llm.components import components
 
 WORDS = 5
@@ -53,7 +53,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray):
     ends_at = inner[1:] - 1
     last[ends_at] = ~gap[ends_at]
     start, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    words = RunningHash(x).spans(start, end)
+    words = word_hashes(x, start, end)
     first = np.searchsorted(start, o)
     long = np.zeros(0, np.uint64)
     if len(words) >= WORDS:
@@ -279,6 +279,9 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, family_block: in
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """The documents that stay, one of each component, with all their columns, whatever their names.
+
+    Null and empty texts and null ids stay; rows that share id and text stay or
+    go together; whole texts of any length count; an empty table gives no rows.
+    """
+    return without_ids(docs, near_duplicates(docs, percent).where("not kept").select("doc_id"))

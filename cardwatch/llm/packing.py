@@ -45,7 +45,10 @@ class Encoder:
             text.encode("latin-1")
         except UnicodeEncodeError:  # characters on whose classes the libraries' tables may differ
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
+        except ValueError:  # its pattern engine gives up on very long runs of white space
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -19,8 +19,8 @@ from cardwatch.llm.common import arrow_limits, blocks, held_out, share_of_rows,
 
 #: Labelled documents learnt from, for each label: the bound of the training sample.
 SAMPLE_PER_LABEL = 1_200
-#: Chunks learnt from in each of them, evenly spaced over the whole text.
-SAMPLE_CHUNKS = 12
+#: Chunks whose windows are held at a time while learning.
+CHUNKS_AT_ONCE = 1_024
 THRESHOLD = 0.3
 KERNEL, STRIDE, EMBED, FILTERS = 8, 4, 4, 40
 HOP = 256  # bytes; a chunk is two hops, so neighbours overlap by one
@@ -86,8 +86,14 @@ def _hops(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows, first
 
 
+def _windows(embed: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(chunk, window, bytes of the window as numbers)."""
+    flat = embed[rows].reshape(len(rows), -1)
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, KERNEL * EMBED, axis=1)[:, :: STRIDE * EMBED])
+
+
 def fit(texts: list[list[bytes]], labels: list[int], steps: int = 520, batch: int = 64, rate: float = 0.01) -> QualityNet:
-    """Adam on the cross entropy, about ``steps`` times; a document is its sampled chunks."""
+    """Adam on the cross entropy, about ``steps`` times; a document is all its chunks."""
     epochs = max(1, -(-steps * batch // max(1, len(texts))))
     net = QualityNet.start()
     y = np.array(labels, np.float32)
@@ -110,12 +116,14 @@ def fit(texts: list[list[bytes]], labels: list[int], steps: int = 520, batch: in
             ids = order[at : at + batch]
             rows = np.concatenate([chunk_rows[i] for i in ids])
             first = np.concatenate([[0], np.cumsum([len(chunk_rows[i]) for i in ids])])
-            emb = net.embed[rows].reshape(len(rows), -1)
-            win = np.lib.stride_tricks.sliding_window_view(emb, KERNEL * EMBED, axis=1)[:, :: STRIDE * EMBED]
-            flat = np.ascontiguousarray(win).reshape(-1, KERNEL * EMBED)
-            resp = (flat @ net.filters).reshape(len(rows), per, FILTERS)
-            where = resp.argmax(1)
-            peak = np.take_along_axis(resp, where[:, None], 1)[:, 0] + net.shift
+            where = np.zeros((len(rows), FILTERS), np.int64)
+            peak = np.zeros((len(rows), FILTERS), np.float32)
+            for c in range(0, len(rows), CHUNKS_AT_ONCE):
+                some = slice(c, c + CHUNKS_AT_ONCE)
+                resp = _windows(net.embed, rows[some]).reshape(-1, KERNEL * EMBED) @ net.filters
+                resp = resp.reshape(-1, per, FILTERS)
+                where[some] = resp.argmax(1)
+                peak[some] = np.take_along_axis(resp, where[some][:, None], 1)[:, 0] + net.shift
             act = np.maximum(peak, 0)
             size = np.diff(first)[:, None].astype(np.float32)
             mean, top = np.add.reduceat(act, first[:-1], axis=0) / size, np.maximum.reduceat(act, first[:-1], axis=0)
@@ -126,16 +134,20 @@ def fit(texts: list[list[bytes]], labels: list[int], steps: int = 520, batch: in
             back = g[:, None] * net.weights[None]
             g_act = (back[:, :FILTERS] / size)[owner] + back[:, FILTERS:][owner] * (act == top[owner])
             g_peak = (g_act * (peak > 0)).astype(np.float32)
-            picked = flat.reshape(len(rows), per, -1)[np.arange(len(rows))[:, None], where]  # (chunk, filter, window)
-            g_emb = np.zeros_like(net.embed)
-            bytes_at = where[:, :, None] * STRIDE + np.arange(KERNEL)
-            touched = rows[np.arange(len(rows))[:, None, None], bytes_at]
-            grads_in = g_peak[:, :, None, None] * net.filters.T.reshape(FILTERS, KERNEL, EMBED)[None]
-            for k in range(EMBED):
-                g_emb[:, k] = np.bincount(touched.ravel(), grads_in[..., k].ravel(), minlength=256)
+            g_emb, g_filters = np.zeros_like(net.embed), np.zeros_like(net.filters)
+            kernels = net.filters.T.reshape(FILTERS, KERNEL, EMBED)[None]
+            for c in range(0, len(rows), CHUNKS_AT_ONCE):
+                some = slice(c, c + CHUNKS_AT_ONCE)
+                bytes_at = where[some][:, :, None] * STRIDE + np.arange(KERNEL)
+                touched = rows[some][np.arange(len(rows[some]))[:, None, None], bytes_at]  # (chunk, filter, byte)
+                picked = net.embed[touched].reshape(len(touched), FILTERS, -1)
+                g_filters += np.einsum("cfw,cf->wf", picked, g_peak[some])
+                grads_in = g_peak[some][:, :, None, None] * kernels
+                for k in range(EMBED):
+                    g_emb[:, k] += np.bincount(touched.ravel(), grads_in[..., k].ravel(), minlength=256)
             grads = {
                 "embed": g_emb,
-                "filters": np.einsum("cfw,cf->wf", picked, g_peak),
+                "filters": g_filters,
                 "shift": g_peak.sum(0),
                 "weights": feats.T @ g + 1e-4 * net.weights,
                 "bias": np.array([g.sum()], np.float32),
@@ -152,28 +164,22 @@ def fit(texts: list[list[bytes]], labels: list[int], steps: int = 520, batch: in
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tuple[list[list[bytes]], list[int]]:
-    """About ``per_label`` documents of each label that are not held out, and chunks spread over each."""
+    """About ``per_label`` documents of each label that are not held out, with all their chunks."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     chosen = F.lit(False)
     for label, n in sorted(counts.items()):
         chosen = chosen | ((F.col("quality") == label) & share_of_rows(per_label, n, F.col("labelled_id")))
-    n = SAMPLE_CHUNKS
-    spread = F.expr(
-        f"transform(sequence(0, {n - 1}), i -> substring(cast(text as binary),"
-        f" 1 + int(i * (octet_length(text) - {CHUNK}) div {n - 1}), {CHUNK}))"
-    )
     every = F.expr(
         f"transform(sequence(0, int((greatest(octet_length(text), 1) - 1) div {CHUNK})),"
         f" i -> substring(cast(text as binary), 1 + i * {CHUNK}, {CHUNK}))"
     )
-    pieces = F.when(F.octet_length("text") <= CHUNK * n, every).otherwise(spread)
     sample = usable.where(chosen)  # about 2 * per_label rows: small enough to send to every task
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         .join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id"))
-        .select("doc_id", "quality", pieces.alias("pieces"))
+        .select("doc_id", "quality", every.alias("pieces"))
         .collect()
     )
     rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
