@@ -53,6 +53,58 @@ def test_vectors_far_from_the_origin(spark, piece_bytes):
     assert got == brute(data, range(60), range(60), 3, True)
 
 
+def clustered(spark, n=1500):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 50, (30, 6))
+    data = centres[rng.integers(0, 30, n)] + rng.normal(0, 0.5, (n, 6))
+    data[: n // 3] = centres[0] + rng.normal(0, 0.5, (n // 3, 6))  # a third of all points in one cluster
+    data[-20:] = data[0]  # copies
+    data[-1] *= 1e4
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, v array<double>"), data
+
+
+@pytest.mark.parametrize("piece_bytes", [1 << 20, 3000])
+@pytest.mark.parametrize("max_pivots", [1, 512])
+def test_pivots_change_no_neighbour(spark, piece_bytes, max_pivots):
+    df, data = clustered(spark)
+    some = df.where("vec_id % 7 = 0 or vec_id > 1480")
+    got = {}
+    for r in knn_join(some, df, "v", 4, exclude_self=True, piece_bytes=piece_bytes, max_pivots=max_pivots).orderBy("left_id", "rank").collect():
+        got.setdefault(r["left_id"], []).append(r["neighbour_id"])
+    assert got == brute(data, [r["vec_id"] for r in some.collect()], range(len(data)), 4, True)
+
+
+def test_most_distances_are_not_measured(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 50, (40, 6))
+    data = centres[np.arange(4000) % 40] + rng.normal(0, 0.5, (4000, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, v array<double>")
+    measured = []
+    assert knn_join(df, df, "v", 5, exclude_self=True, max_pivots=64, measured=measured).count() == 20_000
+    pairs = sum(m.agg(F.sum("points")).first()[0] or 0 for m in measured)
+    assert pairs < 0.1 * 4000 * 4000
+
+
+def test_cells_out_of_reach_hold_no_neighbour():
+    """The bounds against all distances, for vectors far from the origin and pivots close to each other."""
+    from cardwatch.operators.knn import cells_within, distances
+
+    rng = np.random.default_rng(8)
+    for shift, spread in ((0, 1), (1e6, 1e-3), (1e7, 10)):
+        points = rng.normal(0, spread, (300, 3)) + shift
+        rows = rng.normal(0, spread, (50, 3)) + shift
+        pivots = points[:20]
+        cell = distances(points, pivots).argmin(1)
+        far = distances(points, pivots).min(1)
+        low = np.array([far[cell == c].min() for c in range(20)])
+        high = np.array([far[cell == c].max() for c in range(20)])
+        exact = distances(rows, points)
+        limit = np.sort(exact, axis=1)[:, 3]
+        inside = cells_within(distances(rows, pivots), limit, low, high, distances(pivots, pivots))
+        for i in range(50):
+            assert set(cell[exact[i] <= limit[i]]) <= set(np.flatnonzero(inside[i]))
+
+
 def test_rows_without_a_vector_have_no_neighbours(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, None), (3, [2.0])], "vec_id long, v array<double>")
     got = {(r["left_id"], r["neighbour_id"]) for r in knn_join(df, df, "v", 2, exclude_self=True).collect()}
