@@ -8,6 +8,7 @@ in score order; nothing is sorted in one task. Input columns: ``is_fraud``,
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from cardwatch.operators.versions import NEWEST, latest_predictions
 from cardwatch.plans.prefix import equal_bin, prefix_sum
 from cardwatch.plans.slices import ROWS_PER_SLICE
 from cardwatch.schemas import LABEL
+from cardwatch.session import ensure_checkpoint_dir
 
 TOP_FRACTIONS = (0.01, 0.02, 0.05, 0.10)
 
@@ -312,14 +314,21 @@ def _metrics_of_levels(levels: DataFrame, rows_per_slice: int) -> DataFrame:
 
 
 def evaluate_model(model, test: DataFrame, threshold: float = 0.5, name: str = "model", fit_rows: int | None = None, fit_seconds: float | None = None) -> dict[str, DataFrame]:
-    """Hold-out metrics of a fitted model, with precision at k, lift and scoring time."""
+    """Hold-out metrics of a fitted model, with precision at k, lift, scoring time and the scored rows.
+
+    The model runs once: its scores are written to the shared folder, and all
+    tables are worked out from there.
+    """
     from cardwatch.operators.ml import score
 
+    spark = test.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/scored-{uuid.uuid4().hex[:12]}"
     started = time.perf_counter()
-    scored = score(model, test, threshold)
-    frame = scored.select("trans_num", F.col(LABEL).cast("int").alias(LABEL), "risk_score", "prediction")
-    row = metrics_row(frame)
+    scored = score(model, test, threshold).select("trans_num", F.col(LABEL).cast("int").alias(LABEL), "risk_score", "prediction")
+    scored.write.parquet(path)
     seconds = time.perf_counter() - started
+    frame = spark.read.schema(scored.schema).parquet(path)
+    row = metrics_row(frame)
     metrics = row.select(
         F.lit(name).alias("model"),
         F.lit(fit_rows).cast("long").alias("fit_rows"),
@@ -339,6 +348,7 @@ def evaluate_model(model, test: DataFrame, threshold: float = 0.5, name: str = "
         "confusion": confusion(frame),
         "precision_at_k": precision_recall_at_k(frame),
         "lift": lift_table(frame),
+        "scored": frame,
     }
 
 

@@ -66,7 +66,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):  # a local cluster has executors
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = _own_folder("cardwatch-checkpoint-")
     context.setCheckpointDir(folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from math import gcd
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -146,13 +147,52 @@ def live_kpis(stream: DataFrame, sink: str, checkpoint: str, **options) -> DataF
     return keep_first(versions, ["window_start", "window_end"], [F.desc("batch")]).drop("batch")
 
 
-def card_velocity(stream: DataFrame, window: str = "2 hours", slide: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
-    """Transactions per card in sliding event-time windows."""
+_UNITS = {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400, "week": 604_800}
+
+
+def _seconds(duration: str) -> int:
+    """A duration such as "2 hours" in seconds."""
+    number, unit = duration.split()
+    return int(number) * _UNITS[unit.rstrip("s")]
+
+
+def card_panes(stream: DataFrame, window: str = "2 hours", slide: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
+    """Transactions per card in panes: the longest stretches of which all sliding windows are made."""
+    pane = f"{gcd(_seconds(window), _seconds(slide))} seconds"
     timed = stream.withWatermark(TS, watermark)
-    counts = timed.groupBy(F.window(TS, window, slide).alias("w"), "cc_num").agg(F.count(F.lit(1)).alias("transactions"))
+    counts = timed.groupBy(F.window(TS, pane).alias("p"), "cc_num").agg(F.count(F.lit(1)).alias("transactions"))
+    return counts.select(F.col("p.start").alias("pane_start"), "cc_num", "transactions")
+
+
+def merge_panes(panes: DataFrame, window: str = "2 hours", slide: str = "1 hour") -> DataFrame:
+    """Counts of sliding windows from those of their panes: panes are multiplied by overlapping windows, rows are not."""
+    counts = panes.groupBy(F.window("pane_start", window, slide).alias("w"), "cc_num").agg(F.sum("transactions").alias("transactions"))
     return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "cc_num", "transactions")
 
 
+def card_velocity(table: DataFrame, window: str = "2 hours", slide: str = "1 hour") -> DataFrame:
+    """Transactions per card in sliding event-time windows of a table."""
+    return merge_panes(card_panes(table, window, slide), window, slide)
+
+
+def live_card_velocity(
+    stream: DataFrame, sink: str, checkpoint: str, window: str = "2 hours", slide: str = "1 hour", watermark: str = "2 hours"
+) -> DataFrame:
+    """The same of what a stream holds: each row is counted once, in its pane, and panes outlive the watermark in ``sink``.
+
+    Panes that still change are written again by later micro-batches; the
+    batch number decides which version counts.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(sink)
+
+    writer = card_panes(stream, window, slide, watermark).writeStream.outputMode("update").foreachBatch(handle)
+    run_available(writer.option("checkpointLocation", checkpoint))
+    versions = stream.sparkSession.read.parquet(sink)
+    return merge_panes(keep_first(versions, ["pane_start", "cc_num"], [F.desc("batch")]), window, slide)
+
+
 def dedupe_stream(stream: DataFrame, watermark: str = "2 hours", key: str = "trans_num") -> DataFrame:
     """Drop repeated ids that arrive within the watermark."""
     return stream.withWatermark(TS, watermark).dropDuplicatesWithinWatermark([key])

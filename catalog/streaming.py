@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cardwatch.bindings import stream_of_transactions
-from cardwatch.streaming import replay
+from cardwatch.streaming import ordered, replay
 from catalog.ingestion import scratch
 from catalog.registry import TS, TX, Tables, add
 
@@ -53,11 +53,32 @@ add(
     f"""SELECT date_trunc('hour', {TS}) AS window_start, date_trunc('hour', {TS}) + INTERVAL 1 HOUR AS window_end, {KPIS} FROM {TX} t GROUP BY 1, 2""",
     "amount fraud_amount",
 )
+VELOCITY = f"""SELECT date_trunc('hour', {TS}) - to_hours(h) AS window_start, date_trunc('hour', {TS}) - to_hours(h) + INTERVAL 2 HOUR AS window_end, cc_num,
+ count(*) AS transactions FROM {TX} t, (VALUES (0), (1)) v(h) GROUP BY 1, 2, 3"""
+add("t_s5_velocity", lambda t: replay.card_velocity(t.tx), VELOCITY)
+add("t_s5_velocity_live", lambda t: replay.live_card_velocity(stream(t), scratch(t), scratch(t)), VELOCITY)
+
+REPLAYED = 700
+
+
+def in_event_order(t: Tables):
+    """The log replayed by event time, so many rows a batch and four batches at most, in two runs on one checkpoint."""
+    log, sink, checkpoint = scratch(t), scratch(t), scratch(t)
+    ordered.write_log(t.tx, log, chunk_rows=500)
+
+    def handle(rows, number: int) -> None:
+        rows.withColumn("batch", F.lit(number).cast("long")).write.parquet(f"{sink}/n={number}")
+
+    for bound in (2, 4):
+        ordered.replay(t.spark, log, handle, checkpoint, REPLAYED, bound, chunk_rows=500)
+    return t.spark.read.parquet(sink).select("trans_num", "batch", "pos", "amt")
+
+
 add(
-    "t_s5_velocity",
-    lambda t: replay.card_velocity(t.tx),
-    f"""SELECT date_trunc('hour', {TS}) - to_hours(h) AS window_start, date_trunc('hour', {TS}) - to_hours(h) + INTERVAL 2 HOUR AS window_end, cc_num,
- count(*) AS transactions FROM {TX} t, (VALUES (0), (1)) v(h) GROUP BY 1, 2, 3""",
+    "t_s1_ordered",
+    in_event_order,
+    f"""SELECT trans_num, pos // {REPLAYED} AS batch, pos, amt FROM
+ (SELECT *, row_number() OVER (ORDER BY {TS}, trans_num) - 1 AS pos FROM {TX} t) x WHERE pos < {4 * REPLAYED}""",
 )
 add(
     "t_s6",

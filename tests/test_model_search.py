@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardwatch.operators import ml
-from cardwatch.operators.evaluate import average_precision, grouped_average_precision
+from cardwatch.operators.evaluate import average_precision, confusion, evaluate_model, grouped_average_precision
 
 SPACES = {
     "gbt": {"maxIter": [2, 4], "maxDepth": [2, 3], "stepSize": [0.1, 0.3], "subsamplingRate": [1.0], "featureSubsetStrategy": ["all"]},
@@ -95,3 +95,18 @@ def test_average_precision_by_group(spark, limit):
     for g in ("a", "b"):
         assert got[g] == pytest.approx(plain_average_precision([s for x, s, _ in rows if x == g], [y for x, _, y in rows if x == g]))
         assert got[g] == pytest.approx(average_precision(df.where(F.col("g") == g)).first()[0])
+
+
+def test_a_model_is_evaluated_from_one_scoring(table):
+    model = ml.fit_rf(table, {"numTrees": 3, "maxDepth": 3})
+    got = evaluate_model(model, table, threshold=0.4, name="rf")
+    for name in ("confusion", "lift", "scored"):
+        plan = got[name]._jdf.queryExecution().executedPlan().toString()
+        assert "probability" not in plan and "scored-" in plan
+    again = ml.score(model, table, 0.4)
+    rows = {r["trans_num"]: r for r in got["scored"].collect()}
+    assert all(rows[r["trans_num"]]["risk_score"] == r["risk_score"] and rows[r["trans_num"]]["prediction"] == r["prediction"] for r in again.collect())
+    assert got["confusion"].first() == confusion(again).first()
+    metrics = got["metrics"].first()
+    assert metrics["pr_auc"] == pytest.approx(plain_average_precision([r["risk_score"] for r in rows.values()], [r["is_fraud"] for r in rows.values()]))
+    assert sum(r["n"] for r in got["lift"].collect()) == 400
