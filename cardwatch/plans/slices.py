@@ -27,6 +27,17 @@ SAMPLES_PER_CUT = 8
 CUTTABLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType, T.BooleanType)
 
 
+def _in_order(name: str, kind: T.DataType) -> Column:
+    """A column as a value of the same order that can be a constant of the plan: dates and times as whole numbers."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name).alias(name)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(name).alias(name)
+    if isinstance(kind, T.TimestampNTZType):  # without a zone, so that no hour comes twice
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)").alias(name)
+    return F.col(name)
+
+
 @dataclass(frozen=True)
 class SlicePlan:
     """Cut points (key and order values together, ascending); none when every group fits one slice."""
@@ -75,10 +86,10 @@ def plan_slices(
     if largest <= limit:
         return SlicePlan(by, order, total, largest)
 
-    candidates = df.select(*by, *order)
+    candidates = df.select(*by, *[_in_order(c, df.schema[c].dataType) for c in order])
     schema = candidates.schema
     for f in schema.fields:
-        if not isinstance(f.dataType, CUTTABLE):
+        if not isinstance(f.dataType, CUTTABLE if f.name in by else (*CUTTABLE, T.DecimalType)):
             raise TypeError(f"cannot cut by {f.name}: {f.dataType.simpleString()}")
     if by:
         # At most max_slices groups exceed the limit, so their keys are safe to broadcast.
@@ -106,8 +117,8 @@ def with_slice(df: DataFrame, plan: SlicePlan, name: str = "__slice") -> DataFra
     if not plan.split:
         return df.withColumn(name, F.lit(0))
     point = T.StructType([plan.schema[c] for c in (*plan.by, *plan.order)])
-    here = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in point.fields])
-    text = json.dumps([dict(zip(point.names, cut)) for cut in plan.cuts])
+    here = F.struct(*[_in_order(f.name, df.schema[f.name].dataType).cast(f.dataType).alias(f.name) for f in point.fields])
+    text = json.dumps([dict(zip(point.names, cut)) for cut in plan.cuts], default=str)  # decimals as texts
     # Parsed once while planning: the tasks see a constant array.
     cuts = F.from_json(F.lit(text), T.ArrayType(point))
     return df.withColumn(name, _count_at_or_before(cuts, len(plan.cuts), here))

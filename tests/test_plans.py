@@ -51,6 +51,23 @@ def test_prefix_sum_equals_plain_window(rows, by):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("limit", [25, 10_000])
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "decimal(20,3)", "decimal(38,0)"])
+def test_any_sortable_order_on_both_sides_of_the_limit(rows, kind, limit):
+    number = F.pmod(F.xxhash64("id"), F.lit(90)).cast("int")
+    whole = F.date_add(F.lit("2023-12-01").cast("date"), number)
+    values = {
+        "date": whole,
+        "timestamp": F.timestamp_micros(F.lit(1_700_000_000_123_457) + number * 1_000_003),
+        "timestamp_ntz": F.timestamp_micros(F.lit(-5_000_000) + number * 1_000_003).cast("timestamp_ntz"),
+    }
+    data = rows.withColumn("at", values.get(kind, (number - 40).cast("double") / 8).cast(kind))
+    w = Window.orderBy("at", "id")
+    want = data.select("id", (F.row_number().over(w) - 1).cast("long").alias("pos"))
+    got = prefix_sum(data, ["at", "id"], (), (), rows_per_slice=limit).select("id", "pos")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_no_single_partition_over_rows(rows, spark):
     """The only un-partitioned step runs over one row per slice, not over rows."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
