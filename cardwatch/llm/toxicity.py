@@ -217,6 +217,18 @@ def decoded_words(decoder: Decoder, column: pa.Array) -> Iterator[list[bytes]]:
 
 # --- the classifier ------------------------------------------------------------------------
 
+#: Besides whole words their first bytes count as stems, so that an insult is known in its other forms.
+STEMS = (4, 5, 6)
+
+
+def with_stems(words: list[bytes]) -> Iterator[bytes]:
+    """The words and the stems of longer ones, marked by a star."""
+    yield from words
+    for n in STEMS:
+        for w in words:
+            if len(w) > n:
+                yield w[:n] + b"*"
+
 
 @dataclass(frozen=True)
 class ToxicityModel:
@@ -226,7 +238,7 @@ class ToxicityModel:
 
     def score(self, words: list[bytes]) -> float:
         known = self.weights
-        found = Counter(w for w in words if w in known)
+        found = Counter(w for w in with_stems(words) if w in known)
         z = self.bias + sum(known[w] * math.log1p(n) for w, n in sorted(found.items()))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -254,7 +266,7 @@ def _sample_words(docs: DataFrame, sample: DataFrame, costs: np.ndarray) -> Data
         for batch in batches:
             known = zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist())
             for (doc_id, toxic), found in zip(known, decoded_words(decoder, batch.column("text"))):
-                counts = Counter(found)
+                counts = Counter(with_stems(found))
                 n = len(counts) + 1
                 copy = min((zlib.crc32(b" ".join(found[k : k + 5])) for k in range(max(1, len(found) - 4))))
                 yield pa.RecordBatch.from_arrays(
@@ -295,7 +307,7 @@ def _lexicon(words: DataFrame, toxic: int, clean: int, size: int) -> list[bytes]
     return [bytes(r["word"]) for r in sure.orderBy(F.desc("z"), "word").limit(size).collect()]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1.0, steps: int = 30) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 0.05, steps: int = 60) -> np.ndarray:
     """Weights and bias by Newton's method with a quadratic penalty."""
     x = np.column_stack([x, np.ones(len(x))])
     w, pull = np.zeros(x.shape[1]), np.full(x.shape[1], decay)
