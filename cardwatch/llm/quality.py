@@ -21,6 +21,7 @@ from cardwatch.llm.common import arrow_limits, blocks, held_out, share_of_rows,
 SAMPLE_PER_LABEL = 1_200
 #: Chunks whose windows are held at a time while learning.
 CHUNKS_AT_ONCE = 1_024
+HOPS_AT_ONCE = 256
 THRESHOLD = 0.3
 KERNEL, STRIDE, EMBED, FILTERS = 8, 4, 4, 40
 HOP = 256  # bytes; a chunk is two hops, so neighbours overlap by one
@@ -66,7 +67,7 @@ class QualityNet:
         act = np.maximum(pairs, 0)
         mean = np.add.reduceat(act, first[:-1], axis=0) / np.diff(first)[:, None]
         top = np.maximum.reduceat(act, first[:-1], axis=0)
-        z = np.concatenate([mean, top], axis=1) @ self.weights + self.bias
+        z = (np.concatenate([mean, top], axis=1) * self.weights).sum(1) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -203,7 +204,10 @@ def score(docs: DataFrame, net: QualityNet, threshold: float = THRESHOLD) -> Dat
             p = np.zeros(batch.num_rows)
             for i, j in blocks(offsets, 1 << 18):
                 rows, first = _hops(data, offsets[i : j + 1])
-                hops = np.concatenate([net.hop_maxima(rows[h : h + 1024]) for h in range(0, len(rows), 1024)])
+                # Products of one shape only: a row's last digits would else depend on how many rows stand beside it.
+                full = np.concatenate([rows, np.zeros((-len(rows) % HOPS_AT_ONCE, rows.shape[1]), np.uint8)])
+                hops = [net.hop_maxima(full[h : h + HOPS_AT_ONCE]) for h in range(0, len(full), HOPS_AT_ONCE)]
+                hops = np.concatenate(hops)[: len(rows)]
                 p[i:j] = net.probability(hops, first)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))],
