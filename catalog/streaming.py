@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cardwatch.bindings import stream_of_transactions
-from cardwatch.streaming import ordered, replay
+from cardwatch.streaming import ordered, replay, stateful
+from catalog.features import FEATURE_SQL, STATE
 from catalog.ingestion import scratch
 from catalog.registry import TS, TX, Tables, add
 
@@ -85,3 +86,26 @@ add(
     lambda t: landed(t, replay.dedupe_stream(stream(t).unionByName(stream(t)))).select("trans_num", "amt"),
     f"SELECT trans_num, amt FROM {TX} t",
 )
+
+LANDINGS = 3
+LIVE = [(column, sql, is_float) for column, sql, is_float in FEATURE_SQL.values() if column in stateful.STREAMED]
+
+
+def live_features(t: Tables):
+    """The log lands in parts, by event time; after each the stream builds the features of what has come."""
+    log, sink, checkpoint = scratch(t), scratch(t), scratch(t)
+    edges = t.tx.agg(F.percentile_approx(TS, [k / LANDINGS for k in range(1, LANDINGS)])).first()[0]
+    part = sum((F.when(F.col(TS) > edge, 1).otherwise(0) for edge in edges), F.lit(0))
+    for k in range(LANDINGS):
+        t.tx.where(part == k).write.mode("append").parquet(log)
+        arrived = replay.stream_transactions(t.spark, log, t.tx.schema, max_files=1_000_000)
+        stateful.build_available(arrived, sink, checkpoint, amt_prior=30.0)
+    return t.spark.read.parquet(sink).select("trans_num", *[column for column, _, _ in LIVE])
+
+
+add(
+    "t_s3_live",
+    live_features,
+    f"""SELECT trans_num, {", ".join(f"{sql} AS {column}" for column, sql, _ in LIVE)} FROM (SELECT * REPLACE (30.0::DOUBLE AS g) FROM {STATE} x) w""",
+    " ".join(column for column, _, is_float in LIVE if is_float),
+)
