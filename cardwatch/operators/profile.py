@@ -25,6 +25,7 @@ from cardwatch.functions.columns import (
 )
 from cardwatch.operators.versions import dedupe_first
 from cardwatch.plans.prefix import exact_quantiles, null_safe_join, prefix_sum
+from cardwatch.plans.refine import few_groups, grouped_quantiles
 from cardwatch.plans.slices import ROWS_PER_SLICE
 from cardwatch.schemas import ENGINEERED_PATTERN, LABEL, TS
 
@@ -117,11 +118,11 @@ def user_activity_summary(df: DataFrame, key: str = "cc_num") -> DataFrame:
     return _with_quantiles(base, exact_quantiles(activity, "n_transactions", list(probs.values())), list(probs), [])
 
 
-def _with_quantiles(base: DataFrame, quantiles: DataFrame, names: list[str], by: list[str]) -> DataFrame:
-    """Join quantile columns to an aggregate with the same groups."""
+def _with_quantiles(base: DataFrame, quantiles: DataFrame, names: list[str], by: list[str], small: bool = False) -> DataFrame:
+    """Join quantile columns to an aggregate with the same groups; ``small`` if there are few."""
     wide = quantiles.select(*by, *[F.col("quantiles")[i].alias(name) for i, name in enumerate(names)])
     if by:
-        return null_safe_join(base, wide, by)
+        return null_safe_join(base, wide, by, small=small)
     return base.withColumn("__one", F.lit(1)).join(wide.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
 
 
@@ -541,14 +542,15 @@ def amount_profile(df: DataFrame, by: str | None = "category", value: str = "amt
         F.skewness(v).alias("__skew"),
     )
     base = base.where("n > 0")
-    quantiles = exact_quantiles(given, value, [0.01, 0.99, 0.995], keys)
-    out = _with_quantiles(base, quantiles, ["__q01", "__q99", "__q995"], keys)
-    tails = null_safe_join(given, out.select(*keys, "__q99"), keys) if keys else given.withColumn(
+    small = bool(keys) and few_groups(given, keys)
+    quantiles = (grouped_quantiles if small else exact_quantiles)(given, value, [0.01, 0.99, 0.995], keys)
+    out = _with_quantiles(base, quantiles, ["__q01", "__q99", "__q995"], keys, small)
+    tails = null_safe_join(given, out.select(*keys, "__q99"), keys, small=small) if keys else given.withColumn(
         "__q99", F.lit(out.first()["__q99"]).cast("double")
     )
     tails = tails.groupBy(*keys).agg(F.avg((v > F.col("__q99")).cast("double")).alias("__tail"))
     if keys:
-        out = null_safe_join(out, tails, keys)
+        out = null_safe_join(out, tails, keys, small=small)
     else:
         out = out.withColumn("__one", F.lit(1)).join(tails.withColumn("__one", F.lit(1)), "__one").drop("__one")
     mean, var = F.col("__mean"), F.col("__var")
@@ -665,7 +667,8 @@ def anomaly_flags(df: DataFrame, reference: DataFrame | None = None) -> DataFram
     in the category.
     """
     ref = df if reference is None else reference
-    limits = exact_quantiles(ref.where("amt > 0"), "amt", [0.99], ["category"])
+    small = few_groups(ref, ["category"])
+    limits = (grouped_quantiles if small else exact_quantiles)(ref.where("amt > 0"), "amt", [0.99], ["category"])
     limits = limits.select("category", F.col("quantiles")[0].alias("__q99"))
     hours = user_hour_profile(ref)
     order = F.array_sort(
@@ -674,7 +677,7 @@ def anomaly_flags(df: DataFrame, reference: DataFrame | None = None) -> DataFram
     rare = F.transform(F.slice(order, 1, RARE_HOURS), lambda s: s["h"])
     hours = hours.select("cc_num", rare.alias("__rare"))
     pairs = merchants_by_category(ref).withColumn("__known", F.lit(True))
-    out = null_safe_join(df, limits, ["category"])
+    out = null_safe_join(df, limits, ["category"], small=small)
     out = out.join(hours, "cc_num", "left")
     out = out.join(pairs, ["category", "merchant"], "left")
     hour = F.hour(TS)

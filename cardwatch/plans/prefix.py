@@ -80,6 +80,14 @@ def exact_quantiles(
         distinct, total = counts.agg(F.count(F.lit(1)), F.sum("__c")).first()
         placed = prefix_sum(counts, ["__v"], ["__c"], by, rows_per_slice, n=distinct)
         placed = placed.withColumn("__n", F.lit(total or 0).cast("long"))
+    return picked_quantiles(placed, probs, by)
+
+
+def picked_quantiles(placed: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    """Quantiles of values ``__v`` that occur ``__c`` times, with their running count ``cum___c`` in a group of ``__n`` rows.
+
+    Values that hold none of the wanted ranks may be missing.
+    """
     start, end = F.col("cum___c") - F.col("__c"), F.col("cum___c")
     picks = []
     for i, p in enumerate(probs):
