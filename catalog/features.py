@@ -97,14 +97,14 @@ for name, (column, expression, is_float) in FEATURE_SQL.items():
         column if is_float else "",
     )
 
-# A past without spread divides by 1e-9: such values are compared by size only.
+# A past without spread divides by 1e-9: such values are compared to the thousand.
 add(
     "f_a5",
     lambda t: build_features(t.tx).select(
         "trans_num",
-        F.when(F.col("A5_amt_user_std_score") > 1e5, -1.0).otherwise(F.round("A5_amt_user_std_score", 4)).alias("A5_amt_user_std_score"),
+        F.when(F.col("A5_amt_user_std_score") > 1e5, F.round("A5_amt_user_std_score", -3)).otherwise(F.round("A5_amt_user_std_score", 4)).alias("A5_amt_user_std_score"),
     ),
-    f"""SELECT trans_num, CASE WHEN a5 > 1e5 THEN -1 ELSE round(a5, 4) END AS A5_amt_user_std_score FROM
+    f"""SELECT trans_num, CASE WHEN a5 > 1e5 THEN round(a5, -3) ELSE round(a5, 4) END AS A5_amt_user_std_score FROM
  (SELECT trans_num, abs(amt - coalesce(u_mean, g)) / (coalesce(u_std, 0) + 1e-9) AS a5 FROM {STATE} w) z""",
 )
 

@@ -64,7 +64,7 @@ def appended(t: Tables):
 
 ALL_TX = f"SELECT {TX_COLUMNS} FROM {TX} t"
 add("s_1", through_csv, ALL_TX)
-add("s_2", lambda t: io.read_parquet(t.spark, f"{t.folder}/events.parquet").select("event_id", "value"), "SELECT event_id, value FROM events")
+add("s_2", lambda t: io.read_parquet(t.spark, f"{t.folder}/events.parquet"), "SELECT * FROM events")
 add("s_3", lambda t: through_parquet(t, False), ALL_TX)
 add("s_3_partitioned", lambda t: through_parquet(t, True), ALL_TX)
 add("s_4", csv_then_parquet, ALL_TX)

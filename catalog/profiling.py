@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cardwatch.operators import profile as E
-from cardwatch.operators.features import build_features
+from cardwatch.operators.features import FEATURES, build_features
 from catalog.features import FEATURE_SQL, STATE
-from catalog.registry import PLACED, TS, TX, add
+from catalog.registry import PLACED, SHIFT, TS, TX, add, rounded
 
 VOLUME = "count(is_fraud) AS transactions, coalesce(sum(is_fraud), 0)::BIGINT AS frauds, sum(is_fraud)::DOUBLE / nullif(count(is_fraud), 0) AS fraud_rate"
 ACTIVITY = f"(SELECT cc_num, count(*) AS n_transactions FROM {TX} t GROUP BY cc_num)"
@@ -231,22 +231,39 @@ add(
 )
 add("e_24", lambda t: E.collinear_pairs(E.add_calendar(gappy(t)), 0.3, CORR_COLS), f"SELECT * FROM ({PAIRS}) p WHERE abs(corr) >= 0.3", "corr")
 
-PROFILED = ["A1_amt_diff_prev", "A4_identical_amt_cnt_24h", "T1_time_diff_sec", "T5_is_madrugada", "L1_user_city_visit_count"]
-FEATURES_SQL = "(SELECT trans_num, is_fraud, " + ", ".join(f"{sql} AS {c}" for c, sql, _ in FEATURE_SQL.values() if c in PROFILED) + f" FROM {STATE} w)"
-DTYPES = {"A1_amt_diff_prev": "double", "T1_time_diff_sec": "double"}
+# All engineered columns, the computed ones to six digits, so that both engines count the same values. A past without
+# spread divides by 1e-9, so A5 spans many powers of ten and is profiled by its logarithm.
+A5 = "A5_amt_user_std_score"
+A5_SQL = "ln(1 + abs(amt - coalesce(u_mean, g)) / (coalesce(u_std, 0) + 1e-9))"
+COMPUTED = [A5, *[c for c, _, is_float in FEATURE_SQL.values() if is_float]]
+FEATURES_SQL = "whole_features"
+
+
+def over_features(sql: str) -> str:
+    """SQL over ``whole_features``: every transaction with its label and all engineered columns."""
+    cells = {A5: A5_SQL, **{c: expression for c, expression, _ in FEATURE_SQL.values()}}
+    columns = [f"round({x} + {SHIFT}::DOUBLE, 6) + 0.0::DOUBLE AS {c}" if c in COMPUTED else f"{x} AS {c}" for c, x in cells.items()]
+    return f"WITH whole_features AS MATERIALIZED (SELECT trans_num, is_fraud, {', '.join(columns)} FROM {STATE} w) {sql}"
+
+
+def whole_features(t):
+    built = build_features(t.tx).withColumn(A5, F.log(1 + F.col(A5)))
+    return rounded(built, dict.fromkeys(COMPUTED, 6)).select("trans_num", "is_fraud", *FEATURES)
+
+
 PROFILE_SQL = " UNION ALL ".join(
-    f"""SELECT '{c}' AS feature, '{c[0]}' AS family, '{DTYPES.get(c, "int")}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) * 100.0::DOUBLE / count(*) AS null_pct,
+    f"""SELECT '{c}' AS feature, '{c[0]}' AS family, '{"double" if c in COMPUTED else "int"}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) * 100.0::DOUBLE / count(*) AS null_pct,
  true AS is_numeric, var_samp({c}) AS variance, count(DISTINCT {c}) AS n_unique, count(DISTINCT {c})::DOUBLE / count(*) AS unique_ratio FROM {FEATURES_SQL} f"""
-    for c in ["A4_identical_amt_cnt_24h", "T5_is_madrugada", "L1_user_city_visit_count"]
+    for c in FEATURES
 )
+PROFILE_SQL = over_features(PROFILE_SQL)
 
 
 def profiled(t):
-    cols = ["A4_identical_amt_cnt_24h", "T5_is_madrugada", "L1_user_city_visit_count"]
-    return E.feature_profile(build_features(t.tx).select("trans_num", "is_fraud", *cols))
+    return E.feature_profile(whole_features(t))
 
 
-add("e_26", profiled, PROFILE_SQL, "null_pct variance unique_ratio")
+add("e_26", profiled, PROFILE_SQL, "null_pct variance:3 unique_ratio")
 add(
     "e_26_family",
     lambda t: E.family_summary(profiled(t)),
@@ -256,11 +273,13 @@ add(
 )
 add(
     "e_27",
-    lambda t: E.robust_describe(build_features(t.tx), ["A1_amt_diff_prev", "T1_time_diff_sec"]),
-    " UNION ALL ".join(
-        f"""SELECT '{c}' AS feature, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max,
- {", ".join(f"quantile_cont({c}, {p}) AS {n}" for n, p in E.DESCRIBE_QUANTILES.items())} FROM {FEATURES_SQL} f"""
-        for c in ("A1_amt_diff_prev", "T1_time_diff_sec")
+    lambda t: E.robust_describe(whole_features(t), FEATURES),
+    over_features(
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS feature, avg({c}) AS mean, stddev_samp({c}) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
+ {", ".join(f"quantile_cont({c}::DOUBLE, {p}) AS {n}" for n, p in E.DESCRIBE_QUANTILES.items())} FROM {FEATURES_SQL} f"""
+            for c in FEATURES
+        )
     ),
     "mean std min max p01 p05 p50 p95 p99",
 )

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from cardwatch.functions.columns import iv_band
 from cardwatch.operators import selection as V
-from cardwatch.operators.features import build_features
-from catalog.profiling import FEATURES_SQL, GAPPY, gappy
+from cardwatch.operators.features import FEATURES
+from catalog.profiling import FEATURES_SQL, GAPPY, gappy, over_features, whole_features
 from catalog.registry import TX, add, sample_sql
 
 QUALITY_COLS = {"amt": "double", "city": "string", "category": "string", "merchant": "string", "trans_num": "string"}
@@ -103,23 +103,41 @@ add(
     lambda t: V.model_input(gappy(t), report(t)),
     f"SELECT amt, category, city, merchant, is_fraud FROM {GAPPY} g",
 )
-SIGNAL = ["A1_amt_diff_prev", "T1_time_diff_sec", "L1_user_city_visit_count"]
+#: A column that knows the label, beside all engineered ones.
+LEAK = "Z1_planted_leak"
+LEAK_SQL = f"(SELECT *, is_fraud + 0.25::DOUBLE * (L1_user_city_visit_count % 2) AS {LEAK} FROM {FEATURES_SQL})"
 
 
-def signal(t):
-    return V.feature_signal(build_features(t.tx).select("trans_num", "is_fraud", *SIGNAL), SIGNAL)
+def signal(t, planted: bool = False):
+    data = whole_features(t)
+    if planted:
+        data = data.withColumn(LEAK, F.col("is_fraud") + 0.25 * (F.col("L1_user_city_visit_count") % 2))
+    return V.feature_signal(data, [*FEATURES, *([LEAK] if planted else [])])
 
 
-def auc_sql(c: str) -> str:
+def auc_sql(c: str, view: str) -> str:
     return f"""(SELECT greatest(a, 1 - a) FROM (SELECT sum(bad * (below + good / 2)) / (sum(bad) * sum(good)) AS a FROM
  (SELECT bad, good, coalesce(sum(good) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM
- (SELECT {c} AS v, sum(is_fraud)::DOUBLE AS bad, sum(1 - is_fraud)::DOUBLE AS good FROM {FEATURES_SQL} f WHERE {c} IS NOT NULL GROUP BY 1) s) p) r)"""
+ (SELECT {c} AS v, sum(is_fraud)::DOUBLE AS bad, sum(1 - is_fraud)::DOUBLE AS good FROM {view} f WHERE {c} IS NOT NULL GROUP BY 1) s) p) r)"""
+
+
+def signal_sql(cols: list[str], view: str) -> str:
+    def corr(c: str) -> str:
+        return f"CASE WHEN min({c}) < max({c}) THEN corr({c}, is_fraud) END"
+
+    each = [
+        f"""SELECT '{c}' AS feature, '{c[0]}' AS family, {corr(c)} AS corr_with_target, abs({corr(c)}) AS abs_corr_with_target,
+ {auc_sql(c, view)} AS single_feature_auc FROM {view} f"""
+        for c in cols
+    ]
+    return f"SELECT c.*, m.mi AS mutual_info FROM ({' UNION ALL '.join(each)}) c JOIN ({mi_sql(view, [], cols)}) m ON m.feature = c.feature"
 
 
-SIGNAL_SQL = f"""SELECT c.*, m.mi AS mutual_info FROM ({" UNION ALL ".join(
-    f'''SELECT '{c}' AS feature, '{c[0]}' AS family, corr({c}, is_fraud) AS corr_with_target, abs(corr({c}, is_fraud)) AS abs_corr_with_target,
- {auc_sql(c)} AS single_feature_auc FROM {FEATURES_SQL} f''' for c in SIGNAL)}) c
- JOIN ({mi_sql(FEATURES_SQL, [], SIGNAL)}) m ON m.feature = c.feature"""
 SIGNAL_R = "corr_with_target abs_corr_with_target single_feature_auc mutual_info"
-add("v_9", signal, SIGNAL_SQL, SIGNAL_R)
-add("v_10", lambda t: V.suspicious(signal(t)), f"SELECT * FROM ({SIGNAL_SQL}) s WHERE single_feature_auc >= 0.95 OR mutual_info > 0.3", SIGNAL_R)
+add("v_9", signal, over_features(signal_sql(FEATURES, FEATURES_SQL)), SIGNAL_R)
+add(
+    "v_10",
+    lambda t: V.suspicious(signal(t, True)),
+    over_features(f"SELECT * FROM ({signal_sql([*FEATURES, LEAK], LEAK_SQL)}) s WHERE single_feature_auc >= 0.95 OR mutual_info > 0.3"),
+    SIGNAL_R,
+)
