@@ -117,12 +117,13 @@ add(
     f"SELECT trans_num, cc_num, location_key, {SELECTED} FROM {STATE} w",
     FLOATS,
 )
-# The same values with every card and merchant history cut into slices.
+# The same values with every card and merchant history cut into slices, and A5 by its logarithm.
 add(
     "build_features_sliced",
-    lambda t: build_features(t.tx, rows_per_slice=60).select(*WIDE),
-    f"SELECT trans_num, cc_num, location_key, {SELECTED} FROM {STATE} w",
-    FLOATS,
+    lambda t: build_features(t.tx, rows_per_slice=60).select(*WIDE, F.log(1 + F.col("A5_amt_user_std_score")).alias("log_a5")),
+    f"""SELECT trans_num, cc_num, location_key, {SELECTED}, ln(1 + abs(amt - coalesce(u_mean, g)) / (coalesce(u_std, 0) + 1e-9)) AS log_a5
+ FROM {STATE} w""",
+    FLOATS + " log_a5",
 )
 
 add("f_0a", lambda t: with_location(t.tx).select("trans_num", "location_country"), f"SELECT trans_num, state AS location_country FROM {TX} t")
