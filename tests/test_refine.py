@@ -72,4 +72,5 @@ def test_table_is_not_joined_by_group_with_a_shuffle(spark, tiny):
     tx = transactions(spark, tiny).withColumn("category", F.when(F.col("category") != "view", F.col("category")))
     assert "SortMergeJoin" not in plan_of(amount_profile(tx))
     limits = plan_of(anomaly_flags(tx).select("trans_num", "high_amount"))
-    assert not [line for line in limits.splitlines() if "SortMergeJoin" in line and "__q99" in line]
+    assert not [line for line in limits.splitlines() if "SortMergeJoin" in line and "__r_category" in line]
+    assert [line for line in limits.splitlines() if "BroadcastHashJoin" in line and "__r_category" in line]
