@@ -188,7 +188,7 @@ def keyed_history(
     local = df.withColumns(window_moments(value, name, before(segment, order)))
     partial = df.groupBy(*segment).agg(*partial_moments(value, name))
     carry = carry_in(partial, keys, "__hs", moments=[name]).where(F.col(f"c_{name}_n") > 0)
-    return merge_moments(null_safe_join(local, carry, segment, small=True), name).drop("__hs")
+    return merge_moments(null_safe_join(local, carry, segment, small=plan.small), name).drop("__hs")
 
 
 # --- card history ----------------------------------------------------------------
@@ -201,13 +201,14 @@ def _card_history(rows: DataFrame, plain: DataFrame, own: list[str], rows_per_sl
     if not plan.split:
         return _whole_histories(rows, keys, exact)
     hot = plan.hot_keys(rows.sparkSession)
-    hot = F.broadcast(hot.toDF(*[f"__k_{c}" for c in keys]))
+    hot = hot.toDF(*[f"__k_{c}" for c in keys])
+    hot = F.broadcast(hot) if plan.small else hot
     match = F.lit(True)
     for c in keys:
         match = match & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
     usual = _whole_histories(rows.join(hot, match, "left_anti"), keys, exact)
     cut_rows, cut_plain = (with_slice(d.join(hot, match, "left_semi"), plan, "__cs") for d in (rows, plain))
-    return usual.unionByName(_cut_histories(cut_rows, cut_plain, keys, rows_per_slice))
+    return usual.unionByName(_cut_histories(cut_rows, cut_plain, keys, rows_per_slice, plan.small))
 
 
 def _whole_histories(rows: DataFrame, keys: list[str], exact: bool) -> DataFrame:
@@ -246,11 +247,12 @@ def _whole_histories(rows: DataFrame, keys: list[str], exact: bool) -> DataFrame
     return median_of_whole_histories(rows, keys, CARD_ORDER, "amt", "__median", clustered=True)
 
 
-def _cut_histories(rows: DataFrame, plain: DataFrame, keys: list[str], rows_per_slice: int) -> DataFrame:
+def _cut_histories(rows: DataFrame, plain: DataFrame, keys: list[str], rows_per_slice: int, few: bool) -> DataFrame:
     """Histories cut into time slices (column ``__cs``): local windows plus carried state.
 
     All carried state comes from ``plain``, so each piece is one narrow scan
-    of the cut cards and none builds on another's joins.
+    of the cut cards and none builds on another's joins. ``few`` says that a table with one row
+    for each slice can be broadcast.
     """
     segment = [*keys, "__cs"]
 
@@ -263,13 +265,13 @@ def _cut_histories(rows: DataFrame, plain: DataFrame, keys: list[str], rows_per_
     w = before(segment, CARD_ORDER)
     here = Window.partitionBy(*segment).orderBy(*CARD_ORDER)
 
-    # The last row of the slice before; one row per slice, hence the broadcasts below.
+    # The last row of the slice before; one row per slice.
     ends = plain.groupBy(*segment).agg(F.max_by(_row_state(), F.struct(*CARD_ORDER)).alias("__end"))
     by_slice = Window.partitionBy(*keys).orderBy("__cs")
     ends = ends.withColumn("__end", F.lag("__end").over(by_slice))
 
     def timed(df: DataFrame) -> DataFrame:
-        df = attach(df, ends, segment, small=True)
+        df = attach(df, ends, segment, small=few)
         df = df.withColumn("__prev", F.coalesce(F.lag(_row_state()).over(here), "__end")).drop("__end")
         return df.withColumn("__t1", _interval())
 
@@ -295,7 +297,7 @@ def _cut_histories(rows: DataFrame, plain: DataFrame, keys: list[str], rows_per_
             **{name: F.sum(source).over(w) for name, source in sums.items()},
         }
     )
-    rows = attach(rows, card, segment, small=True)
+    rows = attach(rows, card, segment, small=few)
     for name in ("__u", "__i"):
         rows = merge_moments(rows, name)
     for name in sums:
@@ -321,14 +323,14 @@ def _cut_histories(rows: DataFrame, plain: DataFrame, keys: list[str], rows_per_
         # A place is new in the slice that carries nothing for it.
         debut = carry.groupBy(*segment).agg(F.count_if(F.col(f"c_{count}").isNull()).alias(new))
         rows = rows.withColumn(new, F.sum((F.col(count) == 0).cast("long")).over(w))
-        rows = merge_sum(attach(rows, carry_in(debut, keys, "__cs", sums=[new]), segment, small=True), new)
+        rows = merge_sum(attach(rows, carry_in(debut, keys, "__cs", sums=[new]), segment, small=few), new)
 
     # Time-range counts do not follow slices: they come from merged seconds.
     velocity = lookback_counts(plain, keys, {f"__v{name}": s for name, s in VELOCITY.items()})
     rows = attach(rows, velocity, [*keys, "__sec"])
     repeats = lookback_counts(plain, [*keys, "amt"], {"__same": DAY})
     rows = attach(rows, repeats, [*keys, "amt", "__sec"])
-    rows = median_of_sliced_histories(rows, plain, keys, "__cs", CARD_ORDER, "amt", "__median", rows_per_slice)
+    rows = median_of_sliced_histories(rows, plain, keys, "__cs", CARD_ORDER, "amt", "__median", rows_per_slice, few)
     return rows.drop("__cs")
 
 

@@ -158,9 +158,12 @@ def median_of_sliced_histories(
     value: str,
     name: str,
     rows_per_slice: int,
+    few: bool = True,
 ) -> DataFrame:
     """Running prior median where histories are cut into slices; ``plain`` has the rows of ``df`` with fewer columns.
 
+    ``few`` says that a table with a few rows for each slice can be broadcast.
+
     A task gets one time slice and a count for each value range, or the rows of
     one value range and the rows of one time slice whose median lies in it.
     Every row is sent about three times, however long its history is.
@@ -241,8 +244,8 @@ def median_of_sliced_histories(
         return table.withColumnsRenamed({c: f"__g_{c}" for c in by}).groupBy(*[f"__g_{c}" for c in by])
 
     questions = cut_rows.groupBy(*segment).cogroup(grouped(carried, segment)).applyInArrow(locate, asked)
-    # ``reach`` has a few rows for each slice, like all tables that are carried from slice to slice.
-    held = null_safe_join(known, reach, [*keys, "__vs"], "inner", small=True).where(F.col(slice_col) <= F.col("__for"))
+    # ``reach`` has a few rows for each slice.
+    held = null_safe_join(known, reach, [*keys, "__vs"], "inner", small=few).where(F.col(slice_col) <= F.col("__for"))
     held = held.withColumn("__vs", F.col("__vs").cast("long"))
     mine = questions.groupBy(*keys, "__vs", slice_col)
     answers = mine.cogroup(grouped(held, [*keys, "__vs", "__for"])).applyInArrow(answer, answered)

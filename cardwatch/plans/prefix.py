@@ -53,7 +53,7 @@ def prefix_sum(
     names = ["__before_pos", *[f"__before_{v}" for v in values]]
     carry = partial.select("__slice", *by, *[F.sum(c).over(earlier).alias(c) for c in names])
     carry = carry.where(F.col("__before_pos") > 0)
-    out = null_safe_join(local, carry, ["__slice", *by], small=True)
+    out = null_safe_join(local, carry, ["__slice", *by], small=plan.small)
     out = out.withColumn("pos", F.col("pos") + F.coalesce("__before_pos", F.lit(0)))
     for v in values:
         out = out.withColumn(f"cum_{v}", F.col(f"cum_{v}") + F.coalesce(F.col(f"__before_{v}"), F.lit(0)))

@@ -97,6 +97,19 @@ def test_hot_cards_and_merchants(spark, limit):
     assert_same(build_features(frame(spark, rows), rows_per_slice=limit), brute(rows))
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_hot_cards_with_a_table_of_cut_points(spark, few, monkeypatch):
+    from cardwatch.plans import slices
+
+    monkeypatch.setattr(slices, "CUTS_IN_PLAN", 2)
+    monkeypatch.setattr(slices, "TOP_CUTS", 4)
+    if not few:
+        monkeypatch.setattr(slices, "BROADCAST_ROWS", 1)
+        monkeypatch.setattr(slices, "COPIES", 3)
+    rows = skewed_rows()
+    assert_same(build_features(frame(spark, rows), rows_per_slice=20), brute(rows))
+
+
 def test_one_card_at_one_instant(spark):
     """Even rows with equal card and time are cut, by transaction id."""
     rows = [row(f"x{i:04d}", 100, 1 + i % 3, merchant="M") for i in range(120)]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cardwatch.plans import slices
 from cardwatch.plans.history import lookback_counts
 from cardwatch.plans.prefix import equal_bin, exact_quantiles, prefix_sum
 from cardwatch.plans.slices import plan_slices, with_slice
@@ -43,6 +44,49 @@ def test_number_of_slices_is_bounded(rows):
     assert 5 <= len(plan.cuts) <= 25
 
 
+@pytest.fixture(params=["plan", "table", "copies"])
+def cuts_as(request, monkeypatch):
+    """Cut points as constants, as a broadcast table and as a table that is shuffled in copies."""
+    if request.param != "plan":
+        monkeypatch.setattr(slices, "CUTS_IN_PLAN", 2)
+        monkeypatch.setattr(slices, "TOP_CUTS", 4)
+    if request.param == "copies":
+        monkeypatch.setattr(slices, "BROADCAST_ROWS", 1)
+        monkeypatch.setattr(slices, "COPIES", 3)
+    return request.param
+
+
+def test_any_number_of_cut_points(rows, cuts_as):
+    plan = plan_slices(rows, ["value", "id"], rows_per_slice=12)
+    assert (plan.table is None) == (cuts_as == "plan") and plan.small == (cuts_as != "copies")
+    if plan.table is not None:
+        assert plan.stride > 1 and len(plan.cuts) <= 4 < plan.n_cuts == plan.table.count()
+        assert "from_json" not in str(plan.table._jdf.queryExecution().analyzed())
+    sliced = with_slice(rows, plan)
+    assert sliced.columns == [*rows.columns, "__slice"] and sliced.count() == rows.count()
+    # The number of cut points at or before a row, by definition.
+    points = sorted(map(tuple, plan.table.select("value", "id").collect())) if plan.table is not None else plan.cuts
+    for r in sliced.collect():
+        assert r["__slice"] == sum(c <= (r["value"], r["id"]) for c in points)
+    assert sliced.groupBy("__slice").count().agg(F.max("count")).first()[0] <= 5 * 12
+
+
+def test_hot_keys_of_any_plan(spark, rows, cuts_as):
+    plan = plan_slices(rows, ["id"], ["key"], rows_per_slice=60)
+    got = {r["key"] for r in plan.hot_keys(spark).collect()}
+    assert got == {r["key"] for r in rows.groupBy("key").count().where("count > 60").collect()}
+    sizes = with_slice(rows, plan).groupBy("key", "__slice").count()
+    assert sizes.count() > len(got) + 3
+
+
+@pytest.mark.parametrize("by", [[], ["key"]])
+def test_prefix_sum_with_any_number_of_cut_points(rows, by, cuts_as):
+    w = Window.partitionBy(*by).orderBy("value", "id")
+    want = rows.select("id", (F.row_number().over(w) - 1).cast("long").alias("pos"), F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum_w"))
+    got = prefix_sum(rows, ["value", "id"], ["w"], by, rows_per_slice=25).select("id", "pos", "cum_w")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("by", [[], ["key"]])
 def test_prefix_sum_equals_plain_window(rows, by):
     w = Window.partitionBy(*by).orderBy("value", "id")
@@ -51,9 +95,11 @@ def test_prefix_sum_equals_plain_window(rows, by):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("in_plan", [2, 10_000])
 @pytest.mark.parametrize("limit", [25, 10_000])
 @pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "decimal(20,3)", "decimal(38,0)"])
-def test_any_sortable_order_on_both_sides_of_the_limit(rows, kind, limit):
+def test_any_sortable_order_on_both_sides_of_the_limit(rows, kind, limit, in_plan, monkeypatch):
+    monkeypatch.setattr(slices, "CUTS_IN_PLAN", in_plan)
     number = F.pmod(F.xxhash64("id"), F.lit(90)).cast("int")
     whole = F.date_add(F.lit("2023-12-01").cast("date"), number)
     values = {
