@@ -7,13 +7,17 @@ aggregates. ``newest`` names the version order, newest first.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardwatch.functions.columns import count_where, or_zero, prediction_label
 from cardwatch.operators.filters import not_blank, prediction_filters
 from cardwatch.operators.versions import NEWEST, latest_predictions
+from cardwatch.plans.slices import ROWS_PER_SLICE
 from cardwatch.schemas import PAYLOAD_TYPES, TS
+from cardwatch.session import ensure_checkpoint_dir
 
 AMOUNT_BUCKETS = 24
 
@@ -81,18 +85,47 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def rank_page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """One page of a globally ordered table with its 1-based ``rank``.
+def rank_page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, rows_per_task: int = ROWS_PER_SLICE) -> DataFrame:
+    """One page of a globally ordered table with its 1-based ``rank``; ``order`` ends in a unique column.
 
-    The rank is taken after the top ``limit + offset`` rows are known, so the
-    un-partitioned window only ever sees one page's worth of rows.
+    A page within the first ``rows_per_task`` rows is taken from the top
+    ``limit + offset`` rows, so the un-partitioned window sees no more than
+    that. A deeper page is found by the sizes of sorted ranges: only the
+    ranges it lies in are ranked.
     """
-    head = top_k(df, order, limit + max(offset, 0))
+    offset = max(offset, 0)
+    if limit + offset > rows_per_task:
+        return _deep_page(df, order, limit, offset)
+    head = top_k(df, order, limit + offset)
     ranked = head.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return ranked.where(F.col("rank") > max(offset, 0))
-
-
-def recent_transactions(pred: DataFrame, limit: int = 100, offset: int = 0, newest=NEWEST, **filters) -> DataFrame:
+    return ranked.where(F.col("rank") > offset)
+
+
+def _deep_page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+    """The rows are written once by ranges of the order; the driver sees one number for each range."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/ranges-{uuid.uuid4().hex[:12]}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    table = spark.read.schema(ranged.schema).parquet(path)
+    starts, before = [], 0
+    for r in table.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).orderBy("__range").collect():
+        if before < offset + limit and before + r["n"] > offset:
+            starts.append((r["__range"], before))
+        before += r["n"]
+    first = spark.createDataFrame(starts, "__range int, __before long")
+    # The constant bounds let the scan skip the files of all other ranges.
+    near = table.where(F.col("__range").between(starts[0][0], starts[-1][0])) if starts else table.where("false")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    ranked = near.join(F.broadcast(first), "__range").withColumn("rank", F.col("__before") + place)
+    page = ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+    return page.drop("__range", "__before").orderBy("rank")
+
+
+def recent_transactions(
+    pred: DataFrame, limit: int = 100, offset: int = 0, newest=NEWEST, rows_per_task: int = ROWS_PER_SLICE, **filters
+) -> DataFrame:
     """Newest versions by risk, then event time, then id."""
     order = [
         F.coalesce(_risk(), F.lit(-1.0)).desc(),
@@ -100,7 +133,8 @@ def recent_transactions(pred: DataFrame, limit: int = 100, offset: int = 0, newe
         F.col("trans_num").asc_nulls_last(),
     ]
     optional = ["batch_id"] if "batch_id" in pred.columns else []
-    return rank_page(_current(pred, newest, filters), order, limit, offset).select(
+    shown = ["trans_num", TS, "amt", "merchant", "category", *optional, "risk_score", "prediction", "created_at"]
+    return rank_page(_current(pred, newest, filters).select(*shown), order, limit, offset, rows_per_task).select(
         "trans_num",
         TS,
         "amt",

@@ -236,4 +236,13 @@ add(
     .agg(F.count(F.lit(1)).alias("n")),
     f"SELECT is_fraud = 1 AS generated, count(*) AS n FROM {TX} t GROUP BY 1",
 )
+ID_SOURCE = ["category", "cc_num", "city", "is_fraud", "merchant", "state"]
+add(
+    "s_18_ids",
+    lambda t: ingest.ensure_trans_num(
+        t.tx.select(*ID_SOURCE, F.when(F.col("is_fraud") == 0, F.col("trans_num")).otherwise(F.lit("")).alias("trans_num"))
+    ).select("trans_num", *ID_SOURCE),
+    f"""SELECT CASE WHEN is_fraud = 0 THEN trans_num ELSE 'srv_' || sha256(to_json(struct_pack({", ".join(f"{c} := {c}" for c in ID_SOURCE)}))::VARCHAR) END AS trans_num,
+ {", ".join(ID_SOURCE)} FROM {TX} t""",
+)
 add("s_19", lambda t: ingest.assert_model_schema(t.tx, ["amt", "category", "trans_num"]), f"SELECT amt, category, trans_num FROM {TX} t")

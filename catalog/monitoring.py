@@ -77,6 +77,15 @@ def recent(where: str = "true", limit: int = 100, offset: int = 0) -> str:
 
 
 add("q_6", lambda t: as_double(S.recent_transactions(t.pred, 100, 40, **NEW), "risk_score"), recent(offset=40))
+
+
+def last_page(t):
+    """A page that ends 30 rows before the last one, found by ranges of the order."""
+    n = latest_predictions(t.pred, VERSION_ORDER).count()
+    return as_double(S.recent_transactions(t.pred, 100, max(n - 130, 0), rows_per_task=1000, **NEW), "risk_score")
+
+
+add("q_6_deep", last_page, recent(offset=f"(SELECT greatest(count(*) - 130, 0) FROM {LATEST} ld)"))
 add(
     "q_6_filtered",
     lambda t: as_double(S.recent_transactions(t.pred, 50, min_risk_score=0.5, category="1-URGENT", **NEW), "risk_score"),

@@ -116,6 +116,12 @@ add(
     f"""SELECT trans_num, amt, row_number() OVER (ORDER BY amt DESC, trans_num) AS rank FROM {TX} t
  ORDER BY amt DESC, trans_num LIMIT 25 OFFSET 50""",
 )
+add(
+    "o_2_deep",
+    lambda t: rank_page(t.tx, [F.desc("amt"), F.asc("trans_num")], 25, t.tx.count() // 10 * 9, rows_per_task=500).select("trans_num", "amt", "rank"),
+    f"""SELECT trans_num, amt, row_number() OVER (ORDER BY amt DESC, trans_num) AS rank FROM {TX} t
+ ORDER BY amt DESC, trans_num LIMIT 25 OFFSET (SELECT count(*) // 10 * 9 FROM {TX} u)""",
+)
 add(
     "o_3",
     lambda t: t.tx.orderBy(TS, "cc_num", "trans_num").select("trans_num", TS, "cc_num"),

@@ -48,6 +48,24 @@ def test_unknown_time_comes_first_among_equal_risk(pred):
     assert got == ["c", "b", "a", "b2"]
 
 
+@pytest.mark.parametrize("offset", [-3, 0, 7, 180, 395, 400, 1000])
+def test_deep_pages_equal_near_ones(spark, offset):
+    rows = spark.range(400).select(F.concat(F.lit("t"), "id").alias("id"), F.when(F.col("id") % 9 != 0, F.col("id") % 5).alias("v"))
+    order = [F.col("v").desc_nulls_first(), F.col("id").asc()]
+    near = S.rank_page(rows, order, 30, offset).collect()
+    deep = S.rank_page(rows, order, 30, offset, rows_per_task=1).collect()
+    assert sorted(map(tuple, deep)) == sorted(map(tuple, near))
+    assert [r["rank"] for r in deep] == list(range(max(offset, 0) + 1, min(400, max(offset, 0) + 30) + 1))
+
+
+def test_deep_page_ranks_only_its_ranges(spark):
+    page = S.rank_page(spark.range(4000), [F.col("id").desc()], 10, 3000, rows_per_task=1)
+    assert page.count() == 10
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(__range" in plan and "SinglePartition" not in plan
+    assert S.rank_page(spark.range(0), [F.col("id").desc()], 10, 3000, rows_per_task=1).count() == 0
+
+
 def test_page_keeps_global_rank(pred):
     page = S.recent_transactions(pred, limit=2, offset=1).collect()
     assert [(r["trans_num"], r["rank"]) for r in page] == [("b", 2), ("a", 3)]
