@@ -222,15 +222,29 @@ def near_minority_filter(
     return kept, spark.createDataFrame([(dropped, dropped / n * 100, limit, k)], schema)
 
 
+def mixed_neighbours(rows: DataFrame, num: list[str], cat: list[str], k: int, key: str = "trans_num") -> DataFrame:
+    """The k nearest other rows over numbers and texts: left_id, rank, neighbour_id, distance.
+
+    A differing text adds half the squared median deviation of the numbers to
+    the squared distance. Missing numbers count as 0, missing texts as "".
+    """
+    spreads = rows.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in num]).first() if num else {}
+    penalty = median(spreads[c] or 0.0 for c in num) if num else 1.0
+    parts = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in num]
+    codes = [F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cat]
+    vectors = rows.select(F.col(key).alias("id"), F.array(*parts).alias("v"), F.array(*codes).cast("array<bigint>").alias("c"))
+    options = dict(codes="c", penalty=penalty * penalty / 2) if cat else {}
+    return knn_join(vectors, vectors, "v", k, "id", "id", exclude_self=True, **options)
+
+
 def smote_nc(
     df: DataFrame, num: list[str], cat: list[str], label: str = LABEL, ratio: float = 0.15, k: int = 3, seed: int = 42, key: str = "trans_num"
 ) -> DataFrame:
     """Over-sample the minority to ``ratio`` of the majority.
 
     A synthetic row lies between a minority row and one of its k nearest
-    minority neighbours; its texts are the most frequent among the neighbours.
-    A differing text adds half the squared median deviation of the numbers to
-    the squared distance.
+    minority neighbours (``mixed_neighbours``); its texts are the most frequent
+    among the neighbours.
     """
     y = F.col(label).cast("int")
     few, many = df.agg(F.count_if(y == 1), F.count_if(y == 0)).first()
@@ -239,15 +253,7 @@ def smote_nc(
         return df
     k = min(k, few - 1)
     minority = df.where(y == 1)
-    spreads = minority.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in num]).first()
-    penalty = median(spreads[c] or 0.0 for c in num) if num else 1.0
-    parts = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in num]
-    codes = [F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cat]
-    vectors = minority.select(
-        F.col(key).alias("id"), F.array(*parts).alias("v"), F.array(*codes).cast("array<bigint>").alias("c")
-    )
-    options = dict(codes="c", penalty=penalty * penalty / 2) if cat else {}
-    pairs = knn_join(vectors, vectors, "v", k, "id", "id", exclude_self=True, **options)
+    pairs = mixed_neighbours(minority, num, cat, k, key)
     per_row, extra = divmod(wanted, few)
     numbered = prefix_sum(minority.select(key).withColumn("__h", F.xxhash64(key, F.lit(seed))), ["__h", key])
     copies = numbered.withColumn("__copies", F.lit(per_row) + (F.col("pos") < extra).cast("int")).where("__copies > 0")

@@ -10,7 +10,7 @@ from cardwatch.operators import evaluate, ml
 from cardwatch.operators.features import build_features
 from catalog.ingestion import scratch
 from catalog.profiling import GAPPY, gappy
-from catalog.registry import SCORED, TS, TX, Tables, add, sample_sql, shuffled_sql
+from catalog.registry import ORACLE, SCORED, TS, TX, Tables, add, sample_sql, shuffled_sql
 
 SPLIT = f"""(SELECT *, CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train' WHEN pos < floor(n * 0.85::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM
  (SELECT *, row_number() OVER (ORDER BY {TS}, trans_num) - 1 AS pos, count(*) OVER () AS n FROM {TX} t) x)"""
@@ -95,6 +95,48 @@ add(
     f"""SELECT is_fraud, CASE is_fraud WHEN 1 THEN greatest(n, (SELECT floor(count(*) * 0.15::DOUBLE)::BIGINT FROM {TX} u WHERE is_fraud = 0)) ELSE n END AS n
  FROM (SELECT is_fraud, count(*) AS n FROM {TX} t GROUP BY 1) c""",
 )
+NUMBERS, TEXTS = ["amt"], ["category", "merchant", "city", "state"]
+add(
+    "m_12_neighbours",
+    lambda t: ml.mixed_neighbours(t.tx.where("is_fraud = 1"), NUMBERS, TEXTS, 3).select("left_id", "rank", "neighbour_id"),
+    f"""SELECT left_id, rank::INTEGER AS rank, neighbour_id FROM (SELECT left_id, neighbour_id, row_number() OVER (PARTITION BY left_id ORDER BY d, neighbour_id) AS rank FROM
+ (SELECT a.trans_num AS left_id, b.trans_num AS neighbour_id, (a.amt - b.amt) * (a.amt - b.amt) + s * s / 2 *
+ ({" + ".join(f"(coalesce(a.{c}, '') <> coalesce(b.{c}, ''))::INTEGER" for c in TEXTS)}) AS d
+ FROM {TX} a, {TX} b, (SELECT stddev_pop(amt) AS s FROM {TX} m WHERE is_fraud = 1) z
+ WHERE a.is_fraud = 1 AND b.is_fraud = 1 AND a.trans_num <> b.trans_num) x) y WHERE rank <= 3""",
+)
+
+
+def synthetic_rows(t: Tables):
+    """Old rows as they were; for each minority row the texts of its copies, if there are as many as due and all lie between it and its neighbours."""
+    path = scratch(t)
+    ml.smote_nc(t.tx, NUMBERS, TEXTS).write.parquet(path)
+    rows = t.spark.read.parquet(path)
+    made = rows.where("startswith(trans_num, 'syn_')").withColumn("base", F.regexp_extract("trans_num", "^syn_(.*)_[0-9]+$", 1))
+    minority = t.tx.where("is_fraud = 1").select(F.col("trans_num").alias("base"), F.col("amt").alias("own"))
+    pairs = ml.mixed_neighbours(t.tx.where("is_fraud = 1"), NUMBERS, TEXTS, 3)
+    around = pairs.join(minority.toDF("neighbour_id", "other"), "neighbour_id").groupBy(F.col("left_id").alias("base"))
+    reach = minority.join(around.agg(F.min("other").alias("low"), F.max("other").alias("high")), "base")
+    few, many = (F.count_if(F.col("is_fraud") == y) for y in (1, 0))
+    counts = t.tx.agg(few.alias("few"), (F.floor(many * 0.15) - few).alias("due"))
+    groups = made.groupBy("base", *TEXTS).agg(F.count(F.lit(1)).alias("n"), F.min("amt").alias("least"), F.max("amt").alias("most"))
+    checked = groups.join(reach, "base").join(F.broadcast(counts), (F.col("n") - F.floor(F.col("due") / F.col("few"))).between(0, 1), "left")
+    inside = (F.col("least") >= F.least("own", "low") - 1e-9) & (F.col("most") <= F.greatest("own", "high") + 1e-9)
+    new = checked.select(F.concat(F.lit("syn_"), "base").alias("id"), *TEXTS, (inside & F.col("due").isNotNull()).alias("ok"))
+    old = rows.where("not startswith(trans_num, 'syn_')").select(F.col("trans_num").alias("id"), *TEXTS, F.lit(True).alias("ok"))
+    return new.unionByName(old)
+
+
+VOTES = ", ".join(
+    f"(SELECT {c} FROM {TX} v WHERE v.trans_num IN (n.x, n.y, n.z) AND {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS {c}" for c in TEXTS
+)
+add(
+    "m_12_rows",
+    synthetic_rows,
+    f"""SELECT trans_num AS id, {", ".join(TEXTS)}, true AS ok FROM {TX} t UNION ALL SELECT 'syn_' || left_id AS id, {VOTES}, true AS ok FROM
+ (SELECT left_id, max(neighbour_id) FILTER (WHERE rank = 1) AS x, max(neighbour_id) FILTER (WHERE rank = 2) AS y, max(neighbour_id) FILTER (WHERE rank = 3) AS z
+ FROM ({ORACLE["m_12_neighbours"]}) w GROUP BY left_id) n""",
+)
 add(
     "m_13",
     lambda t: ml.balanced_weight(t.tx).groupBy("is_fraud").agg(F.max("weight").alias("weight"), F.min("weight").alias("least")),
@@ -170,6 +212,62 @@ add("m_20", saved_and_loaded)
 add("m_21", loaded_by_default_name)
 
 
+def facts_of(ranked, threshold: float):
+    """One row for each hold-out id (its score is a probability, its label follows from it) and for each rank (no better score comes after it)."""
+    score = F.col("risk_score")
+    ids = ranked.select(
+        F.concat(F.lit("id:"), "trans_num").alias("item"), (score.between(0, 1) & (F.col("prediction") == (score >= threshold))).alias("ok")
+    )
+    following = ranked.select((F.col("rank") - 1).alias("rank"), score.alias("next"))
+    ranks = ranked.join(following, "rank", "left").select(
+        F.concat(F.lit("rank:"), F.col("rank").cast("string")).alias("item"), F.coalesce(score >= F.col("next"), F.lit(True)).alias("ok")
+    )
+    return ids.unionByName(ranks)
+
+
+def proven(t: Tables, fit, threshold: float):
+    """Facts of a fitted model: its ranked hold-out scores, the saved and loaded model's, and its report against the scored rows."""
+    model, test, train = fitted(t, fit)
+    path = scratch(t)
+    ml.score_ranked(model, test, threshold).select("trans_num", "is_fraud", "risk_score", "prediction", "rank").write.parquet(f"{path}/scored")
+    scored = t.spark.read.parquet(f"{path}/scored")
+    ml.save_model(model, path, t.spark, features=features_of(train))
+    loaded, meta = ml.load_model(path, t.spark)
+    again = ml.score(loaded, test.select(*meta["features"], "is_fraud"), threshold)
+    again = again.select("trans_num", F.col("risk_score").alias("again"), F.col("prediction").alias("label"))
+    same = (F.col("risk_score") == F.col("again")) & (F.col("prediction") == F.col("label"))
+    kept = scored.join(again, "trans_num").select(F.concat(F.lit("loaded:"), "trans_num").alias("item"), same.alias("ok"))
+
+    # The report's numbers by their definitions, from sums over the scored rows.
+    report = evaluate.evaluate_model(model, test, threshold)["metrics"]
+    y, p = F.col("is_fraud") == 1, F.col("prediction")
+    tp, fp, fn, tn = (F.count_if(c).cast("double") for c in (y & p, ~y & p, y & ~p, ~y & ~p))
+
+    def share(a, b):
+        return F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
+
+    spread = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+    sums = scored.agg(
+        share(tp, tp + fp).alias("precision"),
+        share(tp, tp + fn).alias("recall"),
+        share(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        ((share(tp, tp + fn) + share(tn, tn + fp)) / 2).alias("balanced_acc"),
+        share(tp * tn - fp * fn, spread).alias("mcc"),
+    )
+    names = ["precision", "recall", "f1", "balanced_acc", "mcc"]
+    pairs = report.select(*names).crossJoin(sums.toDF(*[f"own_{c}" for c in names]))  # one row each
+    agree = [F.struct(F.lit(f"metric:{c}").alias("item"), (F.abs(F.coalesce(c, F.lit(0.0)) - F.col(f"own_{c}")) < 1e-9).alias("ok")) for c in names]
+    return facts_of(scored, threshold).unionByName(kept).unionByName(pairs.select(F.inline(F.array(*agree))))
+
+
+HELD_OUT = f"(SELECT trans_num FROM {MIXED} x WHERE pos < round(n * 0.2::DOUBLE))"
+FACTS = f"""SELECT 'id:' || trans_num AS item, true AS ok FROM {HELD_OUT} a UNION ALL SELECT 'loaded:' || trans_num, true FROM {HELD_OUT} b
+ UNION ALL SELECT 'rank:' || row_number() OVER (ORDER BY trans_num), true FROM {HELD_OUT} c
+ UNION ALL SELECT 'metric:' || m, true FROM (SELECT unnest(['precision', 'recall', 'f1', 'balanced_acc', 'mcc']) AS m) d"""
+add("m_14_facts", lambda t: proven(t, ml.fit_gbt, 0.5), FACTS)
+add("m_18_facts", lambda t: proven(t, ml.fit_rf, 0.3), FACTS)
+
+
 def registry(t: Tables):
     path = scratch(t)
     metrics = t.scored.groupBy("category").agg(F.avg("is_fraud").alias("rate"), F.count(F.lit(1)).alias("n")).orderBy("category").collect()
