@@ -33,6 +33,13 @@ def evaluation_frame(tx: DataFrame, pred: DataFrame, batch_id: str | None = None
     return truth.join(latest, "trans_num").select("trans_num", LABEL, "prediction", "risk_score", "created_at")
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """Rows worked out once, in the shared folder: totals, cut points and positions read them from there."""
+    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/rows-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 # --- threshold metrics ---------------------------------------------------------
 
 
@@ -98,7 +105,7 @@ def score_steps(df: DataFrame, label: str = LABEL, score: str = "risk_score", ro
     steps = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(y).cast("long").alias("hits"), F.sum(1 - y).cast("long").alias("misses")
     )
-    return placed_steps(steps, rows_per_slice)
+    return placed_steps(_written(steps), rows_per_slice)
 
 
 def placed_steps(steps: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
@@ -236,9 +243,14 @@ def rank_scores(df: DataFrame, score: str = "risk_score", by: list[str] = (), ke
     return placed.withColumn("rank", F.col("pos") + 1).drop("pos", "__down")
 
 
+def _scores_written(df: DataFrame, label: str = LABEL, score: str = "risk_score", key: str = "trans_num", **_) -> DataFrame:
+    """What ranks need of the rows, by ``_written``."""
+    return _written(df.select(*dict.fromkeys([key, label, LABEL, score])))
+
+
 def precision_recall_at_k(df: DataFrame, fractions=TOP_FRACTIONS, **options) -> DataFrame:
     """Precision and recall among the top share of rows."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, _scores_written(df, **options)
     n, positives = df.agg(F.count(F.lit(1)), F.sum(F.col(LABEL).cast("int"))).first()
     sizes = {f: max(1, int(n * f)) for f in fractions}
     ranked = ranked_by_score(df, n=n, **options)
@@ -256,6 +268,7 @@ def precision_recall_at_k(df: DataFrame, fractions=TOP_FRACTIONS, **options) ->
 
 def lift_table(df: DataFrame, bins: int = 10, **options) -> DataFrame:
     """Fraud rate per equal-count score bin against the overall rate, best bin first."""
+    df = _scores_written(df, **options)
     n, positives = df.agg(F.count(F.lit(1)), F.sum(F.col(LABEL).cast("int"))).first()
     base = (positives or 0) / n if n else None
     ranked = ranked_by_score(df, n=n, **options)
