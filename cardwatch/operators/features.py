@@ -47,6 +47,8 @@ UNKNOWN = "UNK"
 EPS = 1e-9
 NIGHT_ENDS = 6
 DAY = 86_400
+#: Rows of whole histories that one task gets, about: a dozen sorts hold some 3 KB for each of them at a time.
+ROWS_PER_TASK = 100_000
 VELOCITY = {"1s": 1, "10s": 10, "60s": 60, "1h": 3_600, "2h": 7_200}
 
 # The engineered columns in their order.
@@ -199,29 +201,34 @@ def _card_history(rows: DataFrame, plain: DataFrame, own: list[str], rows_per_sl
     keys = [*own, "cc_num"]
     plan = plan_slices(plain, CARD_ORDER, keys, rows_per_slice)
     if not plan.split:
-        return _whole_histories(rows, keys, exact)
+        return _whole_histories(rows, keys, exact, plan.total)
     hot = plan.hot_keys(rows.sparkSession)
     hot = hot.toDF(*[f"__k_{c}" for c in keys])
     hot = F.broadcast(hot) if plan.small else hot
     match = F.lit(True)
     for c in keys:
         match = match & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    usual = _whole_histories(rows.join(hot, match, "left_anti"), keys, exact)
+    usual = _whole_histories(rows.join(hot, match, "left_anti"), keys, exact, plan.total)
     cut_rows, cut_plain = (with_slice(d.join(hot, match, "left_semi"), plan, "__cs") for d in (rows, plain))
     return usual.unionByName(_cut_histories(cut_rows, cut_plain, keys, rows_per_slice, plan.small))
 
 
-def _whole_histories(rows: DataFrame, keys: list[str], exact: bool) -> DataFrame:
+def _whole_histories(rows: DataFrame, keys: list[str], exact: bool, total: int) -> DataFrame:
     """Histories that fit one task: plain windows over a single shuffle by card.
 
     The rows are laid out by card once, which also serves every finer key.
     The finer windows run first and the card-level ones last, so that all of
-    the latter share one sort.
+    the latter share one sort. There are at most ``total`` rows; many are dealt
+    out in parts of their number, since parts merged by their bytes on the way
+    can be too much for the sorts of one task.
     """
     w = before(keys, CARD_ORDER)
     here = Window.partitionBy(*keys).orderBy(*CARD_ORDER)
     tick = Window.partitionBy(*keys).orderBy("__sec")
-    rows = rows.repartition(*keys)
+    if total > ROWS_PER_TASK:
+        rows = rows.repartition(max(-(-total // ROWS_PER_TASK), rows.sparkSession.sparkContext.defaultParallelism), *keys)
+    else:
+        rows = rows.repartition(*keys)
     same = Window.partitionBy(*keys, "amt").orderBy("__sec").rangeBetween(-DAY, -1)
     rows = rows.withColumn("__same", F.count(F.lit(1)).over(same))
     pair = before([*keys, "merchant"], CARD_ORDER)
