@@ -19,7 +19,7 @@ from cardwatch.operators.versions import NEWEST, latest_predictions
 from cardwatch.plans.prefix import equal_bin, prefix_sum
 from cardwatch.plans.slices import ROWS_PER_SLICE
 from cardwatch.schemas import LABEL
-from cardwatch.session import ensure_checkpoint_dir
+from cardwatch.session import ensure_checkpoint_dir, written
 
 TOP_FRACTIONS = (0.01, 0.02, 0.05, 0.10)
 
@@ -33,13 +33,6 @@ def evaluation_frame(tx: DataFrame, pred: DataFrame, batch_id: str | None = None
     return truth.join(latest, "trans_num").select("trans_num", LABEL, "prediction", "risk_score", "created_at")
 
 
-def _written(rows: DataFrame) -> DataFrame:
-    """Rows worked out once, in the shared folder: totals, cut points and positions read them from there."""
-    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/rows-{uuid.uuid4().hex[:12]}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 # --- threshold metrics ---------------------------------------------------------
 
 
@@ -105,7 +98,7 @@ def score_steps(df: DataFrame, label: str = LABEL, score: str = "risk_score", ro
     steps = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(y).cast("long").alias("hits"), F.sum(1 - y).cast("long").alias("misses")
     )
-    return placed_steps(_written(steps), rows_per_slice)
+    return placed_steps(written(steps), rows_per_slice)
 
 
 def placed_steps(steps: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
@@ -244,8 +237,8 @@ def rank_scores(df: DataFrame, score: str = "risk_score", by: list[str] = (), ke
 
 
 def _scores_written(df: DataFrame, label: str = LABEL, score: str = "risk_score", key: str = "trans_num", **_) -> DataFrame:
-    """What ranks need of the rows, by ``_written``."""
-    return _written(df.select(*dict.fromkeys([key, label, LABEL, score])))
+    """What ranks need of the rows, written once."""
+    return written(df.select(*dict.fromkeys([key, label, LABEL, score])))
 
 
 def precision_recall_at_k(df: DataFrame, fractions=TOP_FRACTIONS, **options) -> DataFrame:

@@ -13,6 +13,7 @@ from cardwatch.operators.profile import distinct_counts, long_format
 from cardwatch.plans.prefix import equal_bin, exact_quantiles, prefix_sum
 from cardwatch.plans.slices import ROWS_PER_SLICE
 from cardwatch.schemas import DOMAIN_DROPS, ENGINEERED_PATTERN, LABEL
+from cardwatch.session import written
 
 TOP_VALUES = 25
 OTHER = "OTHER"
@@ -230,7 +231,7 @@ def single_feature_auc(df: DataFrame, cols: list[str], label: str = LABEL, rows_
     """max(AUC, 1 - AUC) of each numeric column used alone as a score."""
     known = df.select(F.col(label).cast("int").alias("y"), *cols).where("y is not null")
     cells = long_format(known, cols, "double", ["y"]).where("value is not null")
-    counts = cells.groupBy("feature", "value").agg(*_class_counts(cells))
+    counts = written(cells.groupBy("feature", "value").agg(*_class_counts(cells)))
     placed = prefix_sum(counts, ["value"], ["good"], ["feature"], rows_per_slice)
     below = F.col("cum_good") - F.col("good")
     sums = placed.groupBy("feature").agg(
@@ -242,7 +243,11 @@ def single_feature_auc(df: DataFrame, cols: list[str], label: str = LABEL, rows_
 
 
 def feature_signal(df: DataFrame, cols: list[str], label: str = LABEL, **options) -> DataFrame:
-    """Correlation, single-feature AUC and mutual information of engineered columns."""
+    """Correlation, single-feature AUC and mutual information of engineered columns.
+
+    The columns are worked out once and written; all passes read them from there.
+    """
+    df = written(df.select(*dict.fromkeys([label, *cols])))
     numeric = [c for c in cols if is_numeric(df, c)]
     row = df.agg(*[correlation(c, label).alias(c) for c in numeric]).first()
     known = {c: (row[c],) for c in numeric}

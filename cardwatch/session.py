@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -71,3 +72,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = _own_folder("cardwatch-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """Rows worked out once, in the shared folder: every pass over them reads them from there."""
+    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/rows-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
