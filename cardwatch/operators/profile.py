@@ -28,6 +28,7 @@ from cardwatch.plans.prefix import exact_quantiles, null_safe_join, prefix_sum
 from cardwatch.plans.refine import few_groups, grouped_quantiles
 from cardwatch.plans.slices import ROWS_PER_SLICE
 from cardwatch.schemas import ENGINEERED_PATTERN, LABEL, TS
+from cardwatch.session import written
 
 # Day names, Monday first.
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -450,8 +451,9 @@ def distinct_counts(df: DataFrame, cols: list[str], approximate: bool = False) -
 
 
 def feature_profile(df: DataFrame, cols: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Family, type, gaps, cardinality and variance of engineered columns."""
+    """Family, type, gaps, cardinality and variance of engineered columns, which are worked out once and written."""
     cols = cols or engineered_columns(df)
+    df = written(df.select(*cols))
     types = dict(df.dtypes)
     numeric = set(numeric_columns(df, ()))
     n = F.count(F.lit(1))
@@ -494,8 +496,8 @@ DESCRIBE_QUANTILES = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99":
 
 
 def robust_describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Mean, deviation, extremes and quantiles of several columns."""
-    cells = long_format(df, cols).where("value is not null")
+    """Mean, deviation, extremes and quantiles of several columns, which are worked out once and written."""
+    cells = long_format(written(df.select(*cols)), cols).where("value is not null")
     base = cells.groupBy("feature").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardwatch.plans.slices import ROWS_PER_SLICE, plan_slices, with_slice
+from cardwatch.session import written
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", small: bool = False) -> DataFrame:
@@ -67,13 +68,14 @@ def exact_quantiles(
 
     Works on value counts, so repeated values are merged before the shuffle
     and no task ever holds all values of a group, unlike a percentile
-    aggregate.
+    aggregate. The counts of groups are read by several passes and written once.
     """
     by = list(by)
     v = F.col(value) if isinstance(value, str) else value
     counts = df.select(*by, v.cast("double").alias("__v")).where("__v is not null")
     counts = counts.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
     if by:
+        counts = written(counts)
         placed = prefix_sum(counts, ["__v"], ["__c"], by, rows_per_slice)
         placed = null_safe_join(placed, counts.groupBy(*by).agg(F.sum("__c").alias("__n")), by, "inner")
     else:
