@@ -42,6 +42,7 @@ from cardwatch.plans.history import (
 from cardwatch.plans.prefix import exact_median, exact_quantiles, null_safe_join
 from cardwatch.plans.slices import ROWS_PER_SLICE, plan_slices, with_slice
 from cardwatch.schemas import TS
+from cardwatch.session import written
 
 UNKNOWN = "UNK"
 EPS = 1e-9
@@ -210,6 +211,9 @@ def _card_history(rows: DataFrame, plain: DataFrame, own: list[str], rows_per_sl
         match = match & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
     usual = _whole_histories(rows.join(hot, match, "left_anti"), keys, exact, plan.total)
     cut_rows, cut_plain = (with_slice(d.join(hot, match, "left_semi"), plan, "__cs") for d in (rows, plain))
+    # Every piece of carried state reads the narrow rows with their slices: found once and written.
+    clock = ["__night", "__sin", "__cos"]
+    cut_plain = written(cut_plain.select(*dict.fromkeys([*keys, "__cs", *CARD_ORDER, "amt", "merchant", *LOCATIONS, *clock])))
     return usual.unionByName(_cut_histories(cut_rows, cut_plain, keys, rows_per_slice, plan.small))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from cardwatch.plans.prefix import null_safe_join
 from cardwatch.plans.slices import plan_slices, with_slice
+from cardwatch.session import written
 
 #: Value ranges of all cut histories together: the length of the vector of counts a time slice carries.
 VALUE_RANGES = 1024
@@ -171,9 +172,12 @@ def median_of_sliced_histories(
     segment = [*keys, slice_col]
     line = [*order, "__v"]  # rows that agree in all of this are interchangeable
     rows = plain.select(*segment, *order, F.col(value).cast("double").alias("__v"))
+    given = rows.where(F.col("__v").isNotNull())
+    cuts = plan_slices(given, ["__v", *order], keys, rows_per_slice=rows_per_slice, max_slices=VALUE_RANGES)
+    # Both slice numbers cost a search for each row: they are worked out once and written.
+    without = rows.where("__v is null").withColumn("__vs", F.lit(0))
+    rows = written(with_slice(given, cuts, "__vs").unionByName(without))
     known = rows.where(F.col("__v").isNotNull())
-    cuts = plan_slices(known, ["__v", *order], keys, rows_per_slice=rows_per_slice, max_slices=VALUE_RANGES)
-    known = with_slice(known, cuts, "__vs")
 
     # Counts for each time slice and value range of a key: (older, own).
     cells = known.groupBy(*segment, "__vs").agg(F.count(F.lit(1)).alias("__own"))
@@ -236,14 +240,11 @@ def median_of_sliced_histories(
         x = order_statistics(values, np.zeros(len(k), np.int64), high, k)
         return pa.table([*(queries[c] for c in (*segment, "__row")), pa.array(x)], schema=answered_arrow)
 
-    cut_rows = with_slice(rows.where("__v is not null"), cuts, "__vs").unionByName(
-        rows.where("__v is null").withColumn("__vs", F.lit(0))
-    )
     def grouped(table: DataFrame, by: list[str]):
         """Groups of a table that stems from the same rows as the other one: its columns get names of their own."""
         return table.withColumnsRenamed({c: f"__g_{c}" for c in by}).groupBy(*[f"__g_{c}" for c in by])
 
-    questions = cut_rows.groupBy(*segment).cogroup(grouped(carried, segment)).applyInArrow(locate, asked)
+    questions = rows.groupBy(*segment).cogroup(grouped(carried, segment)).applyInArrow(locate, asked)
     # ``reach`` has a few rows for each slice.
     held = null_safe_join(known, reach, [*keys, "__vs"], "inner", small=few).where(F.col(slice_col) <= F.col("__for"))
     held = held.withColumn("__vs", F.col("__vs").cast("long"))
