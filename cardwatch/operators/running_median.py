@@ -213,14 +213,14 @@ def median_of_sliced_histories(
         """For each row of a slice the range that holds its median, the place in it, and how many values it had by then."""
         if not mine.num_rows or not counts.num_rows:
             return asked_arrow.empty_table()
-        values, missing = _numbers(mine.sort_by([(c, "ascending") for c in line])["__v"])
-        carried_now = counts["__carried"][0].as_py()
-        names = np.array([c["__vs"] for c in carried_now], np.int64)
-        older = np.array([c["__older"] for c in carried_now], np.int64)
+        mine = mine.sort_by([(c, "ascending") for c in line])
+        _, missing = _numbers(mine["__v"])
+        carried_now = pc.list_flatten(counts["__carried"])  # of one row
+        names, older = (pc.struct_field(carried_now, c).to_numpy().astype(np.int64) for c in ("__vs", "__older"))
         bits = _bits(len(names) + 1)
         more = np.full((1 << bits) + 1, older.sum(), np.int64)
         more[: len(older) + 1] = np.concatenate([[0], np.cumsum(older)])
-        own = np.searchsorted(names, mine.sort_by([(c, "ascending") for c in line])["__vs"].to_numpy()[~missing])
+        own = np.searchsorted(names, mine["__vs"].to_numpy()[~missing])
         before = np.concatenate([[0], np.cumsum(~missing)])[:-1]
         n = before + older.sum()
         row = np.flatnonzero(n)
