@@ -1,15 +1,21 @@
 """Look-back features on a stream, from keyed state instead of stored history.
 
-Two stateful passes, each with one shuffle. The first is keyed by merchant and
-holds the moments of its amounts. The second is keyed by card and holds
-
-* one value: moments of amounts and intervals, sums of the clock columns,
-  number of places, the last row;
-* a map of merchants (moments) and one of places (counts), of which a
-  micro-batch touches only the entries that occur in it;
-* counts per second of the last two hours, and per amount and second of the
-  last day. What is too old goes when the card's next rows come, or by an
-  event-time timer if none come.
+Two stateful passes, each with one shuffle: one by merchant, which holds the
+moments of its amounts, and one by card. Keys are handled in ``BUCKETS`` groups
+of their hash, so that a micro-batch with many keys of few rows is worked out
+by array operations over the keys of a group. State stays one entry for each
+key, and a micro-batch touches only the keys that occur in it. A card has
+
+* one value, read and written once a micro-batch: moments of amounts and
+  intervals, sums of the clock columns, number of places, the last row, the
+  first ``PACKED`` merchants (moments) and places of each kind (counts), counts
+  per second of the last two hours, and per amount and second of the last day;
+* what does not fit there: a map of the other merchants and one of the other
+  places, of which a micro-batch touches only the entries that occur in it,
+  and, for a card with more than ``PACKED`` entries in a day, maps of amounts.
+
+What is too old goes when the card's next rows come, or by an event-time timer
+of its group, once a day, if none come. Timers fire in the next micro-batch.
 
 All 37 columns of ``build_features`` but ``A3_amt_dev_user_cum_median`` come
 out: an exact median needs every earlier amount, which no state of bounded
@@ -20,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -37,33 +44,78 @@ UNBOUNDED = "A3_amt_dev_user_cum_median"
 STREAMED = [f for f in FEATURES if f != UNBOUNDED]
 HOUR = 3_600
 LONGEST = max(VELOCITY.values())
+#: Groups of keys. A checkpoint goes on only with the number it was started with.
+BUCKETS = 1_024
+#: Merchants, places of a kind and recent amounts of a card that are kept in its value; each access to a map is a round trip.
+PACKED = 1_024
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Count, first value, and sums of differences to it and of their squares: equal values have no spread at all.
 _MOMENTS = "n long, origin double, s1 double, s2 double"
+_CARD = (
+    ", ".join(f"{p}_{field}" for p in ("u", "i") for field in _MOMENTS.split(", "))
+    + ", nights long, sins double, coss double, city_new long, country_new long, amt double, us long, place string"
+    + ", merchants array<string>, merchant_n array<long>, merchant_origin array<double>, merchant_s1 array<double>"
+    + ", merchant_s2 array<double>"
+    + "".join(f", {kind} array<string>, {kind}_n array<long>" for kind in PLACES)
+    + ", sec array<long>, sec_n array<long>"
+    + ", day_amt array<double>, day_sec array<long>, day_n array<long>, day_in_maps boolean, hours array<long>"
+)
+
+
+def _names(ddl: str) -> list[str]:
+    return [field.split()[0] for field in ddl.split(", ")]
+
+
+_CARD_NAMES = _names(_CARD)
+
+
+def _value(state: dict) -> tuple:
+    return tuple(state[name] for name in _CARD_NAMES)
 
 
 # --- running values ---------------------------------------------------------------------------
 
 
-def _prior_sums(values: np.ndarray, carried: float) -> tuple[np.ndarray, float]:
-    """The sum before each value, and after the last."""
-    sums = np.concatenate([[carried], values]).cumsum()
-    return sums[:-1], float(sums[-1])
+def _starts(codes: np.ndarray) -> np.ndarray:
+    """Where each of the codes 0, 1, .. begins; they ascend and none is missing."""
+    return np.flatnonzero(np.diff(codes, prepend=-1))
 
 
-def prior_moments(values: np.ndarray, state: tuple | None) -> tuple[dict[str, np.ndarray], tuple]:
-    """Count, mean, sample deviation and sum of what came before each value, and the state after the last."""
-    n0, origin, s1, s2 = state or (0, float(values[0]), 0.0, 0.0)
+def _sums(codes: np.ndarray, values: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of sums before each row of its code, and after the last; ``carried`` has a row for each code."""
+    starts = _starts(codes)
+    after = pd.DataFrame(values).groupby(codes).cumsum().to_numpy()
+    before = np.concatenate([np.zeros((1, after.shape[1])), after[:-1]])
+    before[starts] = 0.0
+    return carried[codes] + before, carried + after[np.append(starts[1:], len(codes)) - 1]
+
+
+def moments_by(codes: np.ndarray, values: np.ndarray, states: list[tuple | None]) -> tuple[dict[str, np.ndarray], list[tuple]]:
+    """Count, mean, sample deviation and sum of what came before each value of its code, and the states after the last ones."""
+    order = np.argsort(codes, kind="stable")
+    codes, values = codes[order], values[order]
+    starts = _starts(codes)
+    known = np.array([s or (0, v, 0.0, 0.0) for s, v in zip(states, values[starts])], float)
+    origin = known[codes, 1]
     shifted = values - origin
-    n = n0 + np.arange(len(values))
-    before1, s1 = _prior_sums(shifted, s1)
-    before2, s2 = _prior_sums(shifted * shifted, s2)
+    before, after = _sums(codes, np.stack([shifted, shifted * shifted], 1), known[:, 2:])
+    n = known[codes, 0].astype(np.int64) + np.arange(len(codes)) - starts[codes]
     with np.errstate(divide="ignore", invalid="ignore"):
-        mean = np.where(n > 0, origin + before1 / n, np.nan)
-        spread = np.maximum(before2 - before1 * before1 / n, 0.0)
+        mean = np.where(n > 0, origin + before[:, 0] / n, np.nan)
+        spread = np.maximum(before[:, 1] - before[:, 0] * before[:, 0] / n, 0.0)
         std = np.where(n > 1, np.sqrt(spread / (n - 1)), np.nan)
-    out = {"n": n, "mean": mean, "std": std, "sum": np.where(n > 0, before1 + n * origin, np.nan)}
-    return out, (n0 + len(values), origin, s1, s2)
+    found = {"n": n, "mean": mean, "std": std, "sum": np.where(n > 0, before[:, 0] + n * origin, np.nan)}
+    out = {k: np.empty_like(v) for k, v in found.items()}
+    for k, v in found.items():
+        out[k][order] = v
+    total = known[:, 0].astype(np.int64) + np.diff(np.append(starts, len(codes)))
+    return out, list(zip(total.tolist(), known[:, 1].tolist(), after[:, 0].tolist(), after[:, 1].tolist()))
+
+
+def prior_moments(values: np.ndarray, state: tuple | None) -> tuple[dict[str, np.ndarray], tuple]:
+    """The same for the values of one key."""
+    out, (now,) = moments_by(np.zeros(len(values), np.int64), values, [state])
+    return out, now
 
 
 def counts_back(at: np.ndarray, seconds: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
@@ -72,16 +124,57 @@ def counts_back(at: np.ndarray, seconds: np.ndarray, counts: np.ndarray, width:
     return sums[np.searchsorted(seconds, at, "left")] - sums[np.searchsorted(seconds, at - width, "left")]
 
 
+def counts_back_by(
+    codes: np.ndarray, sec: np.ndarray, n: np.ndarray, new: int, widths: list[int]
+) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same within a code, for the last ``new`` entries and several widths, and all entries, merged by code and second."""
+    first = sec.min()
+    span = sec.max() - first + max(widths) + 1  # as far back as it goes, an entry stays clear of the code before it
+    line = codes * span + (sec - first)
+    merged, counts = _merged(line, n)
+    found = [counts_back(line[len(line) - new :], merged, counts, width) for width in widths]
+    return found, (merged // span, merged % span + first, counts)
+
+
+def earlier_equal(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many equal codes (0, 1, ..) stand before each, and how often each code occurs."""
+    sizes = np.bincount(codes)
+    n = np.empty(len(codes), np.int64)
+    n[np.argsort(codes, kind="stable")] = np.arange(len(codes)) - np.repeat(sizes.cumsum() - sizes, sizes)
+    return n, sizes
+
+
 def _merged(seconds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One entry a second, ascending."""
     order, where = np.unique(seconds, return_inverse=True)
     return order, np.bincount(where, counts, len(order)).astype(np.int64)
 
 
+def _paired(codes: np.ndarray, values: pd.Series) -> tuple[np.ndarray, list[tuple[int, object]]]:
+    """A code for each pair of code and value, and the pairs."""
+    inner, found = pd.factorize(values)
+    pairs, where = np.unique(codes * len(found) + inner, return_inverse=True)
+    return where, [(int(p // len(found)), found[p % len(found)]) for p in pairs]
+
+
+def _day_after(us: int) -> int:
+    """When nothing recent is left of a row, in milliseconds."""
+    return (us // 1_000_000 + DAY + 1) * 1000
+
+
 def _in_order(rows: Iterator[pd.DataFrame], names: list[str], order: list[str]) -> pd.DataFrame:
-    """All rows of a key; names come along, because those with a leading underscore do not reach the worker."""
+    """All rows of a group of keys; names come along, because those with a leading underscore do not reach the worker."""
     frame = pd.concat(list(rows), ignore_index=True).set_axis(names, axis=1)
-    return frame.sort_values(order, kind="stable", ignore_index=True)
+    columns = [frame[c] for c in order[:-1]]
+    keys = [c.to_numpy() if pd.api.types.is_numeric_dtype(c) else pd.factorize(c)[0] for c in columns]
+    places = np.lexsort(keys[::-1])
+    if np.logical_and.reduce([k[places][1:] == k[places][:-1] for k in keys]).any():
+        return frame.sort_values(order, kind="stable", ignore_index=True)
+    return frame.take(places).reset_index(drop=True)
+
+
+def _with_columns(frame: pd.DataFrame, out: dict[str, np.ndarray]) -> pd.DataFrame:
+    return pd.concat([frame, pd.DataFrame(out, index=frame.index)], axis=1)
 
 
 # --- processors -------------------------------------------------------------------------------
@@ -94,145 +187,265 @@ class MerchantHistory(StatefulProcessor):
         self.names = names
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("moments", _MOMENTS)
+        self.state = handle.getMapState("moments", "merchant string", _MOMENTS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows, self.names, ["__us", "cc_num", "trans_num"])
-        past, now = prior_moments(frame["amt"].to_numpy(float), self.state.get() if self.state.exists() else None)
-        self.state.update(now)
-        yield frame.assign(__m_mean=past["mean"], __m_std=past["std"])
+        frame = _in_order(rows, self.names, ["merchant", "__us", "cc_num", "trans_num"])
+        codes, merchants = pd.factorize(frame["merchant"])
+        past, now = moments_by(codes, frame["amt"].to_numpy(float), [self.state.getValue((m,)) for m in merchants])
+        for merchant, state in zip(merchants, now):
+            self.state.updateValue((merchant,), state)
+        yield _with_columns(frame, {"__m_mean": past["mean"], "__m_std": past["std"]})
 
     def close(self) -> None:
         pass
 
 
+class Cards:
+    """The rows of a group of cards in one micro-batch, with the cards' values before (``None``: a new card) and after."""
+
+    def __init__(self, frame: pd.DataFrame, known):
+        self.frame = frame
+        self.codes, self.ids = pd.factorize(frame["cc_num"])
+        self.starts = _starts(self.codes)
+        self.ends = np.append(self.starts[1:], len(frame))
+        self.amt = frame["amt"].to_numpy(float)
+        self.us, self.sec = (frame[c].to_numpy(np.int64) for c in ("__us", "__sec"))
+        self.old = [dict(zip(_CARD_NAMES, value)) if value else None for value in map(known, self.ids.tolist())]
+        self.new: list[dict] = [{} for _ in self.ids]
+        self.out: dict[str, np.ndarray] = {}
+
+    def each(self, name: str, default) -> list:
+        """A field of every card."""
+        return [old[name] if old else default for old in self.old]
+
+    def entries(self, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The codes and values of lists that the cards hold."""
+        lists = [self.each(name, ()) for name in names]
+        sizes = [len(values) for values in lists[0]]
+        return np.repeat(np.arange(len(sizes)), sizes), [np.array([v for values in one for v in values]) for one in lists]
+
+    def before(self, name: str, values: np.ndarray, default) -> np.ndarray:
+        """The value of the row before, in the card's order."""
+        shifted = np.concatenate([values[:1], values[:-1]])
+        shifted[self.starts] = self.each(name, default)
+        return shifted
+
+    def keep(self, codes: np.ndarray, names: list[str], values: list[np.ndarray]) -> None:
+        """Lists for the cards, from values in the order of their codes."""
+        edges = np.searchsorted(codes, np.arange(len(self.ids) + 1))
+        for name, column in zip(names, values):
+            column = column.tolist()
+            for new, a, z in zip(self.new, edges[:-1].tolist(), edges[1:].tolist()):
+                new[name] = column[a:z]
+
+
 class CardHistory(StatefulProcessor):
-    """Everything the card-level features need of a card's past."""
+    """Everything the card-level features need of the cards' past."""
 
-    def __init__(self, names: list[str]):
+    def __init__(self, names: list[str], packed: int = PACKED):
         self.names = names
+        self.packed = packed
 
     def init(self, handle) -> None:
         self.handle = handle
-        clock = "nights long, sins double, coss double, cities long, countries long"
-        last = "amt double, us long, place string"
-        moments = ", ".join(f"{p}_{field}" for p in ("u", "i") for field in _MOMENTS.split(", "))
-        self.card = handle.getValueState("card", f"{moments}, {clock}, {last}")
-        self.pairs = handle.getMapState("merchants", "merchant string", _MOMENTS)
-        self.places = handle.getMapState("places", "kind string, place string", "n long")
-        self.seconds = handle.getValueState("seconds", "sec array<long>, n array<long>")
-        self.same = handle.getMapState("amounts", "amt double", "sec array<long>, n array<long>")
-        self.hours = handle.getMapState("hours", "hour long", "amounts array<double>")
+        self.cards = handle.getMapState("cards", "card long", _CARD)
+        self.timer = handle.getValueState("timer", "set boolean")
+        self.pairs = handle.getMapState("merchants", "card long, merchant string", _MOMENTS)
+        self.places = handle.getMapState("places", "card long, kind string, place string", "n long")
+        self.same = handle.getMapState("amounts", "card long, amt double", "sec array<long>, n array<long>")
+        self.hours = handle.getMapState("hours", "card long, hour long", "amounts array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows, self.names, ["__us", "trans_num"])
-        amt, us, sec = frame["amt"].to_numpy(float), frame["__us"].to_numpy(np.int64), frame["__sec"].to_numpy(np.int64)
-        out: dict[str, np.ndarray] = {}
-        for name in PLACES:
-            out[f"__{name}_n"] = self._place_counts(name, frame[PLACES[name]])
-        self._card(out, frame, amt, us)
-        self._merchants(out, frame["merchant"], amt)
-        self._recent(out, sec)
-        out["__same"] = self._repeats(amt, sec)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((int(sec[-1]) + DAY + 1) * 1000)
-        yield frame.assign(**out)
+        c = Cards(_in_order(rows, self.names, ["cc_num", "__us", "trans_num"]), lambda card: self.cards.getValue((card,)))
+        for kind in PLACES:
+            self._place_counts(c, kind)
+        self._moments(c)
+        self._merchants(c)
+        self._recent(c)
+        self._repeats(c)
+        for card, new in zip(c.ids.tolist(), c.new):
+            self.cards.updateValue((card,), _value(new))
+        if not self.timer.exists():
+            self.timer.update((True,))
+            self.handle.registerTimer(_day_after(int(c.us.max())))
+        yield _with_columns(c.frame, c.out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A day without rows: nothing recent is left."""
-        self.seconds.clear()
-        self.same.clear()
-        self.hours.clear()
+        """After a day without rows nothing recent of a card is left."""
+        now, idle, more = timerValues.getCurrentWatermarkInMs(), [], False
+        for (card,), value in self.cards.iterator():
+            state = dict(zip(_CARD_NAMES, value))
+            if state["sec"] or state["day_sec"] or state["day_in_maps"]:
+                if _day_after(state["us"]) <= now:
+                    idle.append((card, state))
+                else:
+                    more = True
+        for card, state in idle:
+            for hour in state["hours"]:
+                for amt in self.hours.getValue((card, hour))[0]:
+                    if self.same.containsKey((card, amt)):
+                        self.same.removeKey((card, amt))
+                self.hours.removeKey((card, hour))
+            state.update(sec=[], sec_n=[], day_amt=[], day_sec=[], day_n=[], day_in_maps=False, hours=[])
+            self.cards.updateValue((card,), _value(state))
+        if more:
+            self.handle.registerTimer(now + DAY * 1000)
+        else:
+            self.timer.clear()
         return iter([])
 
     def close(self) -> None:
         pass
 
-    def _place_counts(self, kind: str, places: pd.Series) -> np.ndarray:
-        n = places.groupby(places, sort=False).cumcount().to_numpy(np.int64)
-        for place, at in places.groupby(places, sort=False).indices.items():
-            known = self.places.getValue((kind, place))[0] if self.places.containsKey((kind, place)) else 0
-            n[at] += known
-            self.places.updateValue((kind, place), (known + len(at),))
-        return n
-
-    def _card(self, out: dict, frame: pd.DataFrame, amt: np.ndarray, us: np.ndarray) -> None:
-        old = self.card.get() if self.card.exists() else None
-        past, u = prior_moments(amt, old[0:4] if old else None)
-        out.update({f"__u_{k}": past[k] for k in ("n", "mean", "std")})
-
-        places = frame["location_key"].to_numpy(object)
-        out["__prev_amt"] = np.concatenate([[old[13] if old else np.nan], amt[:-1]])
-        out["__prev_place"] = np.concatenate([[old[15] if old else None], places[:-1]])
-        gap = np.concatenate([[us[0] - old[14] if old else 0], np.diff(us)]) / 1_000_000
-        first = 0 if old else 1  # the first row of a card has no interval
-        out["__t1"] = np.where(np.arange(len(us)) < first, np.nan, gap)
-        i = old[4:8] if old and old[4] else None
-        means, stds = np.full(len(us), np.nan), np.full(len(us), np.nan)
-        if len(us) > first:
-            past, i = prior_moments(gap[first:], i)
-            means[first:], stds[first:] = past["mean"], past["std"]
-        out["__i_mean"], out["__i_std"] = means, stds
-
-        clock = []
-        columns = [frame["__night"], frame["__sin"], frame["__cos"], out["__city_n"] == 0, out["__country_n"] == 0]
-        for k, (name, values) in enumerate(zip(("nights", "sins", "coss", "city_new", "country_new"), columns)):
+    def _place_counts(self, c: Cards, kind: str) -> None:
+        codes, pairs = _paired(c.codes, c.frame[PLACES[kind]])
+        n, sizes = earlier_equal(codes)
+        known = [dict(zip(old[kind], old[f"{kind}_n"])) if old else {} for old in c.old]
+        before = []
+        for (k, place), size in zip(pairs, sizes.tolist()):
+            if place in known[k] or len(known[k]) < self.packed:
+                before.append(known[k].get(place, 0))
+                known[k][place] = before[-1] + size
+            else:
+                before.append((self.places.getValue((c.ids[k], kind, place)) or (0,))[0])
+                self.places.updateValue((c.ids[k], kind, place), (before[-1] + size,))
+        for new, places in zip(c.new, known):
+            new.update({kind: list(places), f"{kind}_n": list(places.values())})
+        c.out[f"__{kind}_n"] = n + np.array(before, np.int64)[codes]
+
+    def _moments(self, c: Cards) -> None:
+        fields = _names(_MOMENTS)
+        past, u = moments_by(c.codes, c.amt, [tuple(old[f"u_{f}"] for f in fields) if old else None for old in c.old])
+        c.out.update({f"__u_{k}": past[k] for k in ("n", "mean", "std")})
+
+        places = c.frame["location_key"].to_numpy(object)
+        c.out["__prev_amt"] = c.before("amt", c.amt, np.nan)
+        c.out["__prev_place"] = c.before("place", places, None)
+        timed = np.ones(len(c.us), bool)
+        timed[c.starts] = [old is not None for old in c.old]  # the first row of a card has no interval
+        gap = np.where(timed, (c.us - c.before("us", c.us, 0)) / 1_000_000, np.nan)
+        c.out["__t1"] = gap
+        means, stds = np.full(len(gap), np.nan), np.full(len(gap), np.nan)
+        i = [tuple(old[f"i_{f}"] for f in fields) if old and old["i_n"] else None for old in c.old]
+        if timed.any():
+            codes, present = pd.factorize(c.codes[timed])
+            past, after = moments_by(codes, gap[timed], [i[k] for k in present])
+            means[timed], stds[timed] = past["mean"], past["std"]
+            for k, state in zip(present, after):
+                i[k] = state
+        c.out["__i_mean"], c.out["__i_std"] = means, stds
+        for new, first, second in zip(c.new, u, i):
+            for p, state in (("u", first), ("i", second or (0, 0.0, 0.0, 0.0))):
+                new.update({f"{p}_{f}": value for f, value in zip(fields, state)})
+
+        names = ("nights", "sins", "coss", "city_new", "country_new")
+        columns = [*(c.frame[f"__{n}"] for n in ("night", "sin", "cos")), c.out["__city_n"] == 0, c.out["__country_n"] == 0]
+        carried = np.array([c.each(name, 0) for name in names], float).T
+        before, after = _sums(c.codes, np.stack([np.asarray(v, float) for v in columns], 1), carried)
+        for k, name in enumerate(names):
             whole = name not in ("sins", "coss")
-            before, after = _prior_sums(np.asarray(values, float), old[8 + k] if old else 0)
-            out[f"__{name}"] = before.astype(np.int64) if whole else before
-            clock.append(int(after) if whole else after)
-        last = (float(amt[-1]), int(us[-1]), places[-1])
-        self.card.update((*u, *(i or (0, 0.0, 0.0, 0.0)), *clock, *last))
-
-    def _merchants(self, out: dict, merchants: pd.Series, amt: np.ndarray) -> None:
-        parts = {k: np.full(len(amt), np.nan) for k in ("n", "mean", "std", "sum")}
-        for merchant, at in merchants.groupby(merchants, sort=False).indices.items():
-            known = self.pairs.getValue((merchant,)) if self.pairs.containsKey((merchant,)) else None
-            past, now = prior_moments(amt[at], known)
-            for k, v in past.items():
-                parts[k][at] = v
-            self.pairs.updateValue((merchant,), now)
-        out.update({f"__p_{k}": v for k, v in parts.items()})
-        out["__p_n"] = parts["n"].astype(np.int64)
-
-    def _recent(self, out: dict, sec: np.ndarray) -> None:
-        old = self.seconds.get() if self.seconds.exists() else ([], [])
-        all_seconds, counts = _merged(
-            np.concatenate([np.asarray(old[0], np.int64), sec]), np.concatenate([np.asarray(old[1], np.int64), np.ones_like(sec)])
+            c.out[f"__{name}"] = before[:, k].astype(np.int64) if whole else before[:, k]
+            for new, value in zip(c.new, after[:, k].tolist()):
+                new[name] = int(value) if whole else value
+        last = c.ends - 1
+        for new, amt, us, place in zip(c.new, c.amt[last].tolist(), c.us[last].tolist(), places[last]):
+            new.update(amt=amt, us=us, place=place)
+
+    def _merchants(self, c: Cards) -> None:
+        columns = [f"merchant_{field}" for field in _names(_MOMENTS)]
+        known = [dict(zip(old["merchants"], zip(*(old[f] for f in columns)))) if old else {} for old in c.old]
+        codes, pairs = _paired(c.codes, c.frame["merchant"])
+        states, packed = [], []
+        for k, merchant in pairs:
+            packed.append(merchant in known[k] or len(known[k]) < self.packed)
+            states.append(known[k].setdefault(merchant, None) if packed[-1] else self.pairs.getValue((c.ids[k], merchant)))
+        past, now = moments_by(codes, c.amt, states)
+        for (k, merchant), fits, state in zip(pairs, packed, now):
+            if fits:
+                known[k][merchant] = state
+            else:
+                self.pairs.updateValue((c.ids[k], merchant), state)
+        for new, merchants in zip(c.new, known):
+            new["merchants"] = list(merchants)
+            new.update({f: list(values) for f, values in zip(columns, zip(*merchants.values()))})
+        c.out.update({f"__p_{k}": v for k, v in past.items()})
+
+    def _recent(self, c: Cards) -> None:
+        codes, (sec, n) = c.entries("sec", "sec_n")
+        line = [np.concatenate(v).astype(np.int64) for v in ((codes, c.codes), (sec, c.sec), (n, np.ones_like(c.sec)))]
+        found, (codes, sec, n) = counts_back_by(*line, len(c.sec), list(VELOCITY.values()))
+        c.out.update({f"__v{name}": counts for name, counts in zip(VELOCITY, found)})
+        kept = sec >= c.sec[c.ends - 1][codes] - LONGEST
+        c.keep(codes[kept], ["sec", "sec_n"], [sec[kept], n[kept]])
+
+    def _repeats(self, c: Cards) -> None:
+        """Equal amounts of the day before: from the card's value, or from maps while a day holds too many."""
+        old_codes, (old_amt, old_sec, old_n) = c.entries("day_amt", "day_sec", "day_n")
+        codes, sec, n = (
+            np.concatenate(v).astype(np.int64) for v in ((old_codes, c.codes), (old_sec, c.sec), (old_n, np.ones_like(c.sec)))
         )
-        for name, width in VELOCITY.items():
-            out[f"__v{name}"] = counts_back(sec, all_seconds, counts, width)
-        kept = all_seconds >= sec[-1] - LONGEST
-        self.seconds.update((all_seconds[kept].tolist(), counts[kept].tolist()))
-
-    def _repeats(self, amt: np.ndarray, sec: np.ndarray) -> np.ndarray:
-        """Equal amounts of the day before, kept per amount; an index by hour tells which amounts have old entries."""
+        pairs, which = _paired(codes, pd.Series(np.concatenate([old_amt, c.amt]).astype(float)))
+        (found,), (entry, sec, n) = counts_back_by(pairs, sec, n, len(c.sec), [DAY])
+        cards, amts = np.array([k for k, _ in which]), np.array([v for _, v in which], float)
+        codes, amt = cards[entry], amts[entry]
+        kept = sec >= c.sec[c.ends - 1][codes] - DAY
+        codes, amt, sec, n = codes[kept], amt[kept], sec[kept], n[kept]
+        c.keep(codes, ["day_amt", "day_sec", "day_n"], [amt, sec, n])
+        for k, (card, old, new) in enumerate(zip(c.ids.tolist(), c.old, c.new)):
+            new.update(day_in_maps=bool(old and old["day_in_maps"]), hours=list(old["hours"]) if old else [])
+            if new["day_in_maps"]:
+                at = slice(c.starts[k], c.ends[k])
+                found[at] = self._repeats_in_maps(card, new["hours"], c.amt[at], c.sec[at])
+            elif len(new["day_sec"]) > self.packed:
+                at = codes == k
+                self._day_to_maps(card, new["hours"], amt[at], sec[at], n[at])
+                new["day_in_maps"] = True
+            if new["day_in_maps"]:
+                new.update(day_amt=[], day_sec=[], day_n=[])
+        c.out["__same"] = found
+
+    def _day_to_maps(self, card: int, hours: list[int], amt: np.ndarray, sec: np.ndarray, n: np.ndarray) -> None:
+        """Entries ascend by amount and second; an index by hour tells which amounts have old entries."""
+        values, codes = np.unique(amt, return_inverse=True)
+        order = np.argsort(codes, kind="stable")
+        edges = _starts(codes[order])[1:]
+        for value, at in zip(values.tolist(), np.split(order, edges)):
+            self.same.updateValue((card, value), (sec[at].tolist(), n[at].tolist()))
+        self._index(card, hours, amt, sec)
+
+    def _index(self, card: int, hours: list[int], amt: np.ndarray, sec: np.ndarray) -> None:
+        for hour, values in pd.Series(amt).groupby(sec // HOUR).unique().items():
+            known = self.hours.getValue((card, int(hour)))[0] if int(hour) in hours else []
+            self.hours.updateValue((card, int(hour)), (sorted({*known, *map(float, values)}),))
+            if not known:
+                hours.append(int(hour))
+
+    def _repeats_in_maps(self, card: int, hours: list[int], amt: np.ndarray, sec: np.ndarray) -> np.ndarray:
         n = np.zeros(len(amt), np.int64)
         oldest = int(sec[-1]) - DAY
         for value, at in pd.Series(amt).groupby(amt, sort=False).indices.items():
-            old = self.same.getValue((float(value),)) if self.same.containsKey((float(value),)) else ([], [])
+            old = self.same.getValue((card, float(value))) or ([], [])
             seconds, counts = _merged(
                 np.concatenate([np.asarray(old[0], np.int64), sec[at]]),
                 np.concatenate([np.asarray(old[1], np.int64), np.ones(len(at), np.int64)]),
             )
             n[at] = counts_back(sec[at], seconds, counts, DAY)
-            self.same.updateValue((float(value),), (seconds.tolist(), counts.tolist()))
-        hours = pd.Series(amt).groupby(sec // HOUR).unique()
-        for hour, values in hours.items():
-            known = self.hours.getValue((int(hour),))[0] if self.hours.containsKey((int(hour),)) else []
-            self.hours.updateValue((int(hour),), (sorted({*known, *map(float, values)}),))
-        for (hour,) in [h for h in self.hours.keys() if (h[0] + 1) * HOUR <= oldest]:
-            for value in self.hours.getValue((hour,))[0]:
-                if not self.same.containsKey((value,)):
+            self.same.updateValue((card, float(value)), (seconds.tolist(), counts.tolist()))
+        self._index(card, hours, amt, sec)
+        for hour in [h for h in hours if (h + 1) * HOUR <= oldest]:
+            for value in self.hours.getValue((card, hour))[0]:
+                entry = self.same.getValue((card, value))
+                if not entry:
                     continue
-                seconds, counts = self.same.getValue((value,))
+                seconds, counts = entry
                 first = int(np.searchsorted(seconds, oldest))
                 if first == len(seconds):
-                    self.same.removeKey((value,))
+                    self.same.removeKey((card, value))
                 elif first:
-                    self.same.updateValue((value,), (list(seconds[first:]), list(counts[first:])))
-            self.hours.removeKey((hour,))
+                    self.same.updateValue((card, value), (list(seconds[first:]), list(counts[first:])))
+            self.hours.removeKey((card, hour))
+            hours.remove(hour)
         return n
 
 
@@ -264,7 +477,7 @@ _STATE = {
 }
 
 
-def stream_features(stream: DataFrame, amt_prior: float, watermark: str = "0 seconds") -> DataFrame:
+def stream_features(stream: DataFrame, amt_prior: float, watermark: str = "0 seconds", packed: int = PACKED) -> DataFrame:
     """The input columns, the three location columns and ``STREAMED`` for every row of a stream.
 
     Micro-batches must come in event order; inside one any order will do. A
@@ -272,8 +485,9 @@ def stream_features(stream: DataFrame, amt_prior: float, watermark: str = "0 sec
     older than the watermark are dropped, so that with the default nothing
     older than the newest row of the batches before is accepted.
 
-    The rows of one key in one micro-batch are handled together: bound the
-    micro-batch by the source, as for any keyed state.
+    The rows of a group of keys in one micro-batch are handled together: bound
+    the micro-batch by the source, as for any keyed state. Up to ``packed``
+    merchants, places and recent amounts of a card are kept in one value.
     """
     ship_package(stream.sparkSession)
     rows = prepare(stream)
@@ -287,9 +501,11 @@ def stream_features(stream: DataFrame, amt_prior: float, watermark: str = "0 sec
     types = {f.name: f for f in rows.schema.fields}
     out = narrow.withWatermark(TS, watermark)
     first, second = (T.StructType.fromDDL(s) for s in _STATE)
-    for key, processor, added in (("merchant", MerchantHistory, first), ("cc_num", CardHistory, second)):
+    histories = (("merchant", MerchantHistory, first), ("cc_num", partial(CardHistory, packed=packed), second))
+    for key, processor, added in histories:
+        out = out.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
         schema = T.StructType([*out.schema.fields, *added.fields])
-        out = out.groupBy(key).transformWithStateInPandas(
+        out = out.groupBy("__bucket").transformWithStateInPandas(
             processor(out.columns), outputStructType=schema, outputMode="Append", timeMode="EventTime", eventTimeColumnName=TS
         )
     out = out.withColumns(
@@ -306,22 +522,32 @@ def stream_features(stream: DataFrame, amt_prior: float, watermark: str = "0 sec
 
 @contextmanager
 def keyed_state(spark: SparkSession):
-    """State on disk for the queries started inside; the session's own choice comes back afterwards."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, _ROCKS)
+    """State on disk for the queries started inside; the session's own choices come back afterwards.
+
+    No batch is run for timers alone, since none of them emits a row: it would open and close every state store again.
+    """
+    chosen = {
+        "spark.sql.streaming.stateStore.providerClass": _ROCKS,
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {name: spark.conf.get(name, None) for name in chosen}
+    for name, value in chosen.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
-def build_available(stream: DataFrame, sink: str, checkpoint: str, amt_prior: float, watermark: str = "0 seconds") -> None:
+def build_available(
+    stream: DataFrame, sink: str, checkpoint: str, amt_prior: float, watermark: str = "0 seconds", packed: int = PACKED
+) -> None:
     """Append the features of what has arrived to ``sink`` and stop; the next run goes on with the state of this one."""
     with keyed_state(stream.sparkSession):
-        features = stream_features(stream, amt_prior, watermark)
+        features = stream_features(stream, amt_prior, watermark, packed)
         writer = features.writeStream.format("parquet").outputMode("append").option("path", sink)
         run_available(writer.option("checkpointLocation", checkpoint))
