@@ -14,6 +14,11 @@ from cardwatch.streaming.replay import stream_transactions
 
 # Newest-first order of the bound predictions: total, without a surrogate id.
 VERSION_ORDER = ("created_at", "id1", "id2", "id3")
+# The same, and of versions alike in all of that one and the same for its score and its flag. Whoever reads both the
+# flags and the scores of the newest versions then asks twice for the same rows, which Spark shuffles once.
+SCORED_VERSION_ORDER = (*VERSION_ORDER, "risk_score", "return_flag")
+#: Order lines that one task sorts, at the most.
+LINES_PER_TASK = 1_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,21 +55,28 @@ def as_transactions(events: DataFrame) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, folder: str) -> DataFrame:
+def predictions(spark: SparkSession, folder: str, by_order: bool = False) -> DataFrame:
     """Versioned predictions bound to order lines and their dimensions.
 
     Dimensions are joined one by one, so that Spark knows the size of each and
     broadcasts it only if it is small; orders and suppliers grow with the data.
+    ``by_order`` adds ``order_id``, which all versions of an id share, and deals
+    the lines out by it in parts of bounded size if there are many.
     """
     def dimension(name: str) -> DataFrame:
         return table(spark, folder, name)
 
+    lines, orders = dimension("lineitem"), dimension("orders")
+    if by_order:
+        parts = -(-lines.count() // LINES_PER_TASK)
+        if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            lines, orders = lines.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
+
     risk = (F.col("l_discount") * 10).cast("decimal(12,6)")
     second = ((F.col("o_orderkey") * 7919) % 86400).cast("int")
     event_time = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second)
     return (
-        table(spark, folder, "lineitem")
-        .join(dimension("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(dimension("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(dimension("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(dimension("region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -84,5 +96,6 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
             risk.alias("risk_score"),
             (risk >= F.lit(0.8).cast("decimal(12,6)")).alias("prediction"),
             F.col("l_returnflag").alias("return_flag"),
+            *([F.col("l_orderkey").alias("order_id")] if by_order else []),
         )
     )

@@ -18,9 +18,13 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return ranked.where(F.col("__rank") == 1).drop("__rank")
 
 
-def latest_predictions(pred: DataFrame, newest: tuple[str, ...] = NEWEST) -> DataFrame:
-    """Newest version per ``trans_num``; later columns of ``newest`` break ties."""
-    return keep_first(pred, ["trans_num"], [F.col(c).desc_nulls_first() for c in newest])
+def latest_predictions(pred: DataFrame, newest: tuple[str, ...] = NEWEST, within: tuple[str, ...] = ()) -> DataFrame:
+    """Newest version per ``trans_num``; later columns of ``newest`` break ties.
+
+    ``within`` names columns that are the same for all versions of an id: rows
+    that are already dealt out by them need no shuffle by the id.
+    """
+    return keep_first(pred, [*within, "trans_num"], [F.col(c).desc_nulls_first() for c in newest])
 
 
 def dedupe_first(df: DataFrame, key: str | list[str], order: list[str | Column]) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardwatch.bindings import VERSION_ORDER
 from cardwatch.operators import evaluate as X
-from catalog.registry import EVALUATED, SCORED, add, as_double
+from catalog.registry import EVALUATED, EVALUATED_BY, SCORED, add, as_double
 
 
 def counts(view: str) -> str:
@@ -31,7 +30,7 @@ AP = "sum(hits * tp / (tp + fp)) / max(positives)"
 
 add(
     "x_0",
-    lambda t: as_double(X.evaluation_frame(t.truth, t.pred, newest=VERSION_ORDER), "risk_score"),
+    lambda t: as_double(X.evaluation_frame(t.truth, t.by_order, **EVALUATED_BY), "risk_score"),
     f"SELECT trans_num, is_fraud, prediction, risk_score::DOUBLE AS risk_score, created_at FROM {EVALUATED} e",
 )
 for suffix, view, frame in (("", SCORED, lambda t: t.scored), ("_ties", EVALUATED, lambda t: t.evaluated)):
@@ -145,7 +144,7 @@ add(
 )
 add(
     "x_12",
-    lambda t: X.evaluation_report(t.truth, t.pred, newest=VERSION_ORDER),
+    lambda t: X.evaluation_report(t.truth, t.by_order, **EVALUATED_BY),
     f"""SELECT tn + fp + fn + tp AS rows_joined, (tp + fn)::DOUBLE / (tn + fp + fn + tp) AS fraud_rate, {PRF}, pr_auc
  FROM {counts(EVALUATED)} c, (SELECT {TRAPEZOID} AS pr_auc FROM {steps(EVALUATED)} s) a""",
     "fraud_rate precision recall f1 pr_auc",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwatch import bindings
-from cardwatch.bindings import VERSION_ORDER
+from cardwatch.bindings import SCORED_VERSION_ORDER
 from cardwatch.schemas import TS
 from cardwatch.session import configure
 
@@ -18,6 +18,8 @@ DIGITS = 6
 # shift, far above the noise of summation order, makes both sides round it up.
 SHIFT = 3e-9
 
+EVALUATED_BY = {"newest": SCORED_VERSION_ORDER, "within": ("order_id",)}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -40,6 +42,10 @@ class Tables:
     def pred(self) -> DataFrame:
         return bindings.predictions(self.spark, self.folder)
 
+    @property
+    def by_order(self) -> DataFrame:
+        return bindings.predictions(self.spark, self.folder, by_order=True)
+
     @property
     def scored(self) -> DataFrame:
         """Transactions scored by amount: many distinct scores."""
@@ -50,7 +56,7 @@ class Tables:
         """Ground truth of the bound predictions: the newest version's return flag."""
         from cardwatch.operators.versions import latest_predictions
 
-        newest = latest_predictions(self.pred, VERSION_ORDER)
+        newest = latest_predictions(self.by_order, **EVALUATED_BY)
         return newest.select("trans_num", F.when(F.col("return_flag") == "R", 1).otherwise(0).alias("is_fraud"))
 
     @property
@@ -58,7 +64,7 @@ class Tables:
         """Truth and newest prediction: eleven distinct scores, hence many ties."""
         from cardwatch.operators.evaluate import evaluation_frame
 
-        return evaluation_frame(self.truth, self.pred, newest=VERSION_ORDER)
+        return evaluation_frame(self.truth, self.by_order, **EVALUATED_BY)
 
     @property
     def vectors(self) -> DataFrame:
