@@ -48,6 +48,8 @@ LONGEST = max(VELOCITY.values())
 BUCKETS = 1_024
 #: Merchants, places of a kind and recent amounts of a card that are kept in its value; each access to a map is a round trip.
 PACKED = 1_024
+#: Parts of the state, if the session has more partitions than this and than twice its cores: each costs a second a micro-batch.
+STATE_PARTS = 32
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Count, first value, and sums of differences to it and of their squares: equal values have no spread at all.
 _MOMENTS = "n long, origin double, s1 double, s2 double"
@@ -525,8 +527,11 @@ def keyed_state(spark: SparkSession):
     """State on disk for the queries started inside; the session's own choices come back afterwards.
 
     No batch is run for timers alone, since none of them emits a row: it would open and close every state store again.
+    A checkpoint keeps the number of parts it was started with.
     """
+    parts = max(STATE_PARTS, 2 * spark.sparkContext.defaultParallelism)
     chosen = {
+        "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)),
         "spark.sql.streaming.stateStore.providerClass": _ROCKS,
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }

@@ -143,6 +143,23 @@ def test_what_does_not_fit_the_value_counts_as_well(spark, tmp_path):
     compare(spark.read.parquet(sink), build_features(tx, amt_prior=30.0), EXACT)
 
 
+def test_state_has_no_more_parts_than_the_cores_can_use(spark, tmp_path):
+    rows = [(f"t{k}", k % 9, float(k), "m", "c", "s") for k in range(30)]
+    tx = spark.createDataFrame(rows, "trans_num string, cc_num long, amt double, merchant string, city string, state string")
+    tx = tx.withColumn(TS, F.timestamp_seconds(F.lit(1_704_067_200) + F.col("amt")))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        for _ in landed_in_order(tx, [], str(tmp_path / "in")):
+            stream = replay.stream_transactions(spark, str(tmp_path / "in"), tx.schema, max_files=1_000)
+            stateful.build_available(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 30.0)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "150"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+    assert len([d for d in (tmp_path / "cp" / "state" / "0").iterdir() if d.name.isdigit()]) == stateful.STATE_PARTS
+
+
 def test_moments_of_groups_are_those_of_each_key():
     rng = np.random.default_rng(5)
     codes, values = rng.integers(0, 4, 60), rng.choice([1e6, 0.01, 3.5], 60)
