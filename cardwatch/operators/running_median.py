@@ -167,13 +167,19 @@ def median_of_sliced_histories(
 
     A task gets one time slice and a count for each value range, or the rows of
     one value range and the rows of one time slice whose median lies in it.
-    Every row is sent about three times, however long its history is.
+    Every row is sent about three times, however long its history is: a range
+    is sent again to each time slice that asks for it, so slices much shorter
+    than a value range are handled together.
     """
-    segment = [*keys, slice_col]
     line = [*order, "__v"]  # rows that agree in all of this are interchangeable
-    rows = plain.select(*segment, *order, F.col(value).cast("double").alias("__v"))
+    rows = plain.select(*keys, slice_col, *order, F.col(value).cast("double").alias("__v"))
     given = rows.where(F.col("__v").isNotNull())
     cuts = plan_slices(given, ["__v", *order], keys, rows_per_slice=rows_per_slice, max_slices=VALUE_RANGES)
+    together = -(-max(rows_per_slice, -(-cuts.total // VALUE_RANGES)) // rows_per_slice)
+    of_slice, slice_col = F.floor(F.col(slice_col) / together).cast("long"), "__ts"
+    segment = [*keys, slice_col]
+    rows, given, df = (d.withColumn(slice_col, of_slice) for d in (rows, given, df))
+    rows, given = (d.select(*segment, *line) for d in (rows, given))
     # Both slice numbers cost a search for each row: they are worked out once and written.
     without = rows.where("__v is null").withColumn("__vs", F.lit(0))
     rows = written(with_slice(given, cuts, "__vs").unionByName(without))
@@ -254,4 +260,4 @@ def median_of_sliced_histories(
 
     place = Window.partitionBy(*segment).orderBy(*order, F.col(value).cast("double").asc_nulls_last())
     numbered = df.withColumn("__row", F.row_number().over(place).cast("long") - 1)
-    return null_safe_join(numbered, medians, [*segment, "__row"]).drop("__row")
+    return null_safe_join(numbered, medians, [*segment, "__row"]).drop("__row", slice_col)

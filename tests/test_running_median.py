@@ -95,3 +95,23 @@ def test_no_rows(log):
     none = log.where("false").withColumn("part", F.lit(0))
     assert rm.median_of_whole_histories(none, ["card"], ["at"], "amt", "m").count() == 0
     assert rm.median_of_sliced_histories(none, none, ["card"], "part", ["at"], "amt", "m", 10).count() == 0
+
+
+def test_short_slices_send_a_value_range_a_few_times(spark, monkeypatch):
+    """Rows sent for their values, before the bound by time: slices far shorter than a value range must not each get a copy of it."""
+    monkeypatch.setattr(rm, "VALUE_RANGES", 8)
+    rng = random.Random(3)
+    log = spark.createDataFrame([(1, i, f"t{i:04d}", round(rng.uniform(0, 40), 1)) for i in range(2400)], "card long, at long, id string, amt double").cache()
+    rows = with_slice(log, plan_slices(log, ["at", "id"], ["card"], rows_per_slice=10), "part")
+    sent, join = [], rm.null_safe_join
+
+    def recorded(left, *args, **options):
+        out = join(left, *args, **options)
+        if "__for" in out.columns:
+            sent.append(out)
+        return out
+
+    monkeypatch.setattr(rm, "null_safe_join", recorded)
+    got = rm.median_of_sliced_histories(rows, rows, ["card"], "part", ["at", "id"], "amt", "m", 10)
+    assert len(sent) == 1 and sent[0].count() < 12 * 2400
+    assert sorted(map(str, got.drop("part").collect())) == want(log)
