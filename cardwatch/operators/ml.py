@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardwatch.functions.columns import ratio, seeded_order
+from cardwatch.operators import trees
 from cardwatch.operators.knn import knn_join
 from cardwatch.operators.profile import long_format
 from cardwatch.plans.prefix import exact_quantiles, null_safe_join, prefix_sum
@@ -425,7 +426,7 @@ def _fit(train: DataFrame, classifier, label: str, exclude: tuple[str, ...]) ->
     ready = Pipeline(stages=preparation).fit(weighted)
     keys = [c for c in exclude if c in train.columns]
     vectors = ready.transform(weighted).select(*keys, label, "features", "weight")
-    return PipelineModel([*ready.stages, last.fit(written_evenly(vectors, *keys[:1], n=train.count()))])
+    return PipelineModel([*ready.stages, trees.fit(last, written_evenly(vectors, *keys[:1], n=train.count()))])
 
 
 def fit_gbt(train: DataFrame, params: dict | None = None, label: str = LABEL, exclude: tuple[str, ...] = ("trans_num",)) -> PipelineModel:
@@ -509,14 +510,19 @@ def fold_scores(
     """Every classifier fitted on every fold: the written test scores, and (name, fold, fit and score seconds).
 
     Scores have the columns classifier, fold, key, label and risk_score. The
-    fits share a pool of threads.
+    fits share a pool of threads, and classifiers with the same bins share those.
     """
     spark = folds[0].train.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/fold-scores-{uuid.uuid4().hex[:12]}"
 
+    binned = {trees.binning(c): c for c in classifiers.values()}
+    wanted = [(fold, how) for fold in folds for how in binned if how is not None]
+    made = _side_by_side(spark, lambda fold, how: trees.binned(fold.train, binned[how]), wanted, parallelism)
+    data = {(id(fold), how): bins for (fold, how), bins in zip(wanted, made)}
+
     def one(name: str, fold: Fold) -> tuple:
         t0 = time.perf_counter()
-        model = classifiers[name].fit(fold.train)
+        model = trees.fit(classifiers[name], fold.train, data.get((id(fold), trees.binning(classifiers[name]))))
         t1 = time.perf_counter()
         scored = model.transform(fold.test).select(
             F.col(key), F.col(label), vector_to_array("probability")[1].alias("risk_score")
