@@ -520,9 +520,11 @@ def fold_scores(
     made = _side_by_side(spark, lambda fold, how: trees.binned(fold.train, binned[how]), wanted, parallelism)
     data = {(id(fold), how): bins for (fold, how), bins in zip(wanted, made)}
 
+    fits = min(parallelism, len(classifiers) * len(folds))
+
     def one(name: str, fold: Fold) -> tuple:
         t0 = time.perf_counter()
-        model = trees.fit(classifiers[name], fold.train, data.get((id(fold), trees.binning(classifiers[name]))))
+        model = trees.fit(classifiers[name], fold.train, data.get((id(fold), trees.binning(classifiers[name]))), fits)
         t1 = time.perf_counter()
         scored = model.transform(fold.test).select(
             F.col(key), F.col(label), vector_to_array("probability")[1].alias("risk_score")

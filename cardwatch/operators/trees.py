@@ -39,6 +39,8 @@ from cardwatch.session import ensure_checkpoint_dir
 BLOCK_ROWS = 65_536
 #: Bytes of binned rows up to which one task takes all of them.
 LOCAL_BYTES = 32 << 20
+#: The same for a whole boosting among fits that keep the cores busy side by side; with the scores of the rows half as much again.
+BOOST_BYTES = 256 << 20
 #: Bytes of sums that a task holds in a pass, and of sums that are added up together.
 PASS_BYTES = 96 << 20
 PART_BYTES = 1 << 20
@@ -69,9 +71,13 @@ class Block:
         return both.reshape(-1)
 
 
+def _opened(r) -> Block:
+    return Block(r[0], r[1], np.frombuffer(r[2], np.uint8), np.frombuffer(r[3], np.uint8))
+
+
 @dataclass
 class Binned:
-    blocks: RDD  # of Block, read from the shared folder
+    table: DataFrame  # of blocks, read from the shared folder
     rows: int
     thresholds: list[np.ndarray]
     kinds: list[tuple[int, float]]  # class and weight
@@ -79,10 +85,14 @@ class Binned:
     lock: Lock = field(default_factory=Lock)
     sent: Broadcast | None = None
 
+    @property
+    def blocks(self) -> RDD:
+        return self.table.rdd.map(_opened)
+
     def everywhere(self) -> Broadcast:
         """All blocks as one value for the tasks of every fit; only for rows that fit one task."""
         with self.lock:
-            self.sent = self.sent or self.blocks.context.broadcast(self.blocks.collect())
+            self.sent = self.sent or self.table.sparkSession.sparkContext.broadcast(self.blocks.collect())
             return self.sent
 
     @property
@@ -194,12 +204,8 @@ def binned(train: DataFrame, classifier) -> Binned | None:
 
     path = f"{ensure_checkpoint_dir(spark)}/blocks-{uuid.uuid4().hex[:12]}"
     rows.mapInArrow(pack, "number long, rows long, cells binary, kind binary").write.parquet(path)
-
-    def opened(r) -> Block:
-        return Block(r[0], r[1], np.frombuffer(r[2], np.uint8), np.frombuffer(r[3], np.uint8))
-
-    blocks = spark.read.schema("number long, rows long, cells binary, kind binary").parquet(path).rdd.map(opened)
-    return Binned(blocks, n, thresholds, [(int(r["y"]), r["w"]) for r in sizes], [r["n"] for r in sizes])
+    table = spark.read.schema("number long, rows long, cells binary, kind binary").parquet(path)
+    return Binned(table, n, thresholds, [(int(r["y"]), r["w"]) for r in sizes], [r["n"] for r in sizes])
 
 
 def columns_per_node(strategy: str, columns: int, auto: str) -> int:
@@ -392,8 +398,9 @@ def _splits_in_task(blocks: list[Block], g: Growth, whole: float):
 
 def _splits_by_job(data: Binned, g: Growth, whole: float):
     """One job: each task adds up its blocks, sums of a part of a tree's nodes meet, and only splits reach the driver."""
-    sc = data.blocks.context
+    sc = data.table.sparkSession.sparkContext
     per_part = max(1, PART_BYTES // g.node_bytes)
+    blocks_of_pass = data.blocks
     kind_of_sum = np.int32 if data.rows < 1 << 27 else np.int64
 
     def run_pass(work, depth: int):
@@ -413,7 +420,7 @@ def _splits_by_job(data: Binned, g: Growth, whole: float):
                 for i in range(0, counts.shape[1], per_part):
                     yield (t, i), np.ascontiguousarray(counts[:, i : i + per_part])
 
-        added = data.blocks.mapPartitions(add_up).reduceByKey(lambda a, b: a + b, 2 * sc.defaultParallelism)
+        added = blocks_of_pass.mapPartitions(add_up).reduceByKey(lambda a, b: a + b, 2 * sc.defaultParallelism)
         found = dict(added.mapValues(lambda counts: best_class_splits(counts, g, whole)).collect())
         held.unpersist()
         for t, _, nodes, _ in work:
@@ -437,7 +444,7 @@ def fit_forest(classifier: RandomForestClassifier, train: DataFrame, data: Binne
     whole = sum(n * w for n, (_, w) in zip(data.counts, data.kinds))
     pass_nodes = max(1, PASS_BYTES // g.node_bytes)
     if data.local:
-        sc, held = data.blocks.context, data.everywhere()
+        sc, held = data.table.sparkSession.sparkContext, data.everywhere()
 
         def in_task(numbers):
             trees = {t: Tree() for t in numbers}
@@ -620,10 +627,11 @@ def boost_in_task(blocks: list[Block], g: Boosting, whole: float) -> list[Tree]:
 
 def boost_by_jobs(data: Binned, g: Boosting, whole: float) -> list[Tree]:
     """A job for each level; the scores of the rows stay with the blocks."""
-    columns = np.array_split(np.arange(g.columns), min(g.columns, 2 * data.blocks.context.defaultParallelism))
-    tasks = data.blocks.getNumPartitions()
+    blocks = data.blocks
+    columns = np.array_split(np.arange(g.columns), min(g.columns, 2 * blocks.context.defaultParallelism))
+    tasks = blocks.getNumPartitions()
     node_bytes = g.columns * g.bins * 8 * (len(g.kinds) + 1)
-    state = data.blocks.map(lambda b: first_scores(b, g)).persist(StorageLevel.MEMORY_AND_DISK)
+    state = blocks.map(lambda b: first_scores(b, g)).persist(StorageLevel.MEMORY_AND_DISK)
     old, trees = [], []
 
     def run_level(number, shape, depth, nodes):
@@ -657,8 +665,8 @@ def boost_by_jobs(data: Binned, g: Boosting, whole: float) -> list[Tree]:
     return trees
 
 
-def fit_boosted(classifier: GBTClassifier, train: DataFrame, data: Binned | None = None) -> GBTClassificationModel:
-    """The boosted trees that the classifier's parameters describe; leaves keep no variance."""
+def fit_boosted(classifier: GBTClassifier, train: DataFrame, data: Binned | None = None, fits: int = 1) -> GBTClassificationModel:
+    """The boosted trees that the classifier's parameters describe; leaves keep no variance. ``fits`` run side by side."""
     plain = classifier.getImpurity() == "variance" and not classifier.isDefined(classifier.validationIndicatorCol)
     data = (data or binned(train, classifier)) if plain else None
     if data is None or max(y for y, _ in data.kinds) > 1:
@@ -670,8 +678,10 @@ def fit_boosted(classifier: GBTClassifier, train: DataFrame, data: Binned | None
     )
     whole = sum(n * w for n, (_, w) in zip(data.counts, data.kinds))
     if data.local:
-        sc, held = data.blocks.context, data.everywhere()
+        sc, held = data.table.sparkSession.sparkContext, data.everywhere()
         trees = sc.parallelize([0], 1).flatMap(lambda _: boost_in_task(held.value, g, whole)).collect()
+    elif data.rows * data.columns <= BOOST_BYTES and 2 * fits >= data.table.sparkSession.sparkContext.defaultParallelism:
+        trees = data.table.coalesce(1).rdd.map(_opened).mapPartitions(lambda blocks: boost_in_task(list(blocks), g, whole)).collect()
     else:
         trees = boost_by_jobs(data, g, whole)
 
@@ -693,12 +703,15 @@ def binning(classifier) -> tuple | None:
     return classifier.getFeaturesCol(), classifier.getLabelCol(), weight, classifier.getMaxBins(), classifier.getSeed()
 
 
-def fit(classifier, train: DataFrame, data: Binned | None = None):
-    """The classifier's model of written vectors, of ``data`` if they are binned already; classifiers of other or derived classes fit themselves."""
+def fit(classifier, train: DataFrame, data: Binned | None = None, fits: int = 1):
+    """The classifier's model of written vectors, of ``data`` if they are binned already; classifiers of other or derived classes fit themselves.
+
+    ``fits`` says how many of them run side by side.
+    """
     if type(classifier) is RandomForestClassifier:
         return fit_forest(classifier, train, data)
     if type(classifier) is GBTClassifier:
-        return fit_boosted(classifier, train, data)
+        return fit_boosted(classifier, train, data, fits)
     return classifier.fit(train)
 
 

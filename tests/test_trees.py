@@ -33,13 +33,13 @@ FIXED = {
 
 
 @pytest.mark.parametrize("kind", FIXED)
-@pytest.mark.parametrize("in_one_task", [True, False])
-def test_without_draws_the_model_is_sparks(monkeypatch, vectors, kind, in_one_task):
-    if not in_one_task:
+@pytest.mark.parametrize("way", ["in one task", "by jobs", "side by side"])
+def test_without_draws_the_model_is_sparks(monkeypatch, vectors, kind, way):
+    if way != "in one task":
         monkeypatch.setattr(trees, "LOCAL_BYTES", 0)
         monkeypatch.setattr(trees, "DRIVER_BYTES", 0)
     classifier = FIXED[kind]()
-    want, got = classifier.fit(vectors), trees.fit(classifier, vectors)
+    want, got = classifier.fit(vectors), trees.fit(classifier, vectors, fits=8 if way == "side by side" else 1)
     assert type(got) is type(want) and got.totalNumNodes == want.totalNumNodes and got.numFeatures == want.numFeatures
     assert scores(got, vectors) == pytest.approx(scores(want, vectors), abs=1e-9)
     assert {p.name: v for p, v in got.extractParamMap().items()} == {p.name: v for p, v in want.extractParamMap().items()}
